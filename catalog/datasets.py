@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairledger.operators.cells import columns_from_table
+from fairledger.operators.cells import columns_from_table, spread
 
 MONEY = "cast(cast({0} as decimal(18,2)) as {{text}})"
 
@@ -105,7 +105,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for tenant, project, version, table, number, cols in DATASETS:
         fields = ", ".join(_sql(e, True) for _, e in cols)
-        parts.append(read(spark, sf_dir, table).select(
+        keys = re.findall(r"[a-z_]{3,}", number)
+        parts.append(spread(read(spark, sf_dir, table), *keys).select(
             F.lit(tenant).alias("tenant_id"), F.lit(project).alias("project_id"),
             F.lit(version).alias("dataset_version_id"),
             F.expr(f"cast({number} as bigint)").alias("row_number"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import datasets as D
 from fairledger.operators import anomalies, profile, semantics
 from fairledger.operators.cells import cells, value_counts
+from fairledger.plans.staging import stage
 from fairledger.scope import COLUMN, VERSION
 
 DIMENSIONS = [
@@ -70,7 +71,7 @@ def _anomaly(*checks):
 
 def quartile_fences(spark, sf):
     rows = D.rows(spark, sf)
-    found = anomalies.fences(rows, profile.column_facts(value_counts(rows)))
+    found = anomalies.fences(rows, stage(profile.column_facts(value_counts(rows))))
     return found.select(
         *COLUMN, "n", *_rounded(["q1", "q3", "lower_fence", "upper_fence"])
     )

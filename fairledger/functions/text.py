@@ -22,9 +22,7 @@ def is_blank(c: Column) -> Column:
     return js_trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def classify_value(c: Column) -> Column:
-    """integer, decimal, boolean, date or string, by pattern only (no calendar check)."""
-    v = js_trim(c)
+def classify_trimmed(v: Column) -> Column:
     return (
         F.when(F.lower(v).isin(K.BOOLEAN_WORDS), "boolean")
         .when(v.rlike(K.INTEGER), "integer")
@@ -34,16 +32,28 @@ def classify_value(c: Column) -> Column:
     )
 
 
+def classify_value(c: Column) -> Column:
+    """integer, decimal, boolean, date or string, by pattern only (no calendar check)."""
+    return classify_trimmed(js_trim(c))
+
+
+def strict_form(v: Column, type_: str) -> Column:
+    """Has a trimmed value the strict form of a type other than string?"""
+    return {
+        "integer": v.rlike(K.STRICT_INTEGER),
+        "decimal": v.rlike(K.STRICT_DECIMAL),
+        "date": v.rlike(K.STRICT_DATE),
+        "boolean": F.lower(v).isin(K.STRICT_BOOLEAN),
+    }[type_]
+
+
 def conforms_strictly(raw: Column, type_: Column) -> Column:
-    """Does the value have the strict form of its type (ISO date, two decimals, ...)?"""
+    """Strict form of the type (ISO date, two decimals, ...); for text, no outer blanks."""
     v = js_trim(raw)
-    return (
-        F.when(type_ == "integer", v.rlike(K.STRICT_INTEGER))
-        .when(type_ == "decimal", v.rlike(K.STRICT_DECIMAL))
-        .when(type_ == "date", v.rlike(K.STRICT_DATE))
-        .when(type_ == "boolean", F.lower(v).isin(K.STRICT_BOOLEAN))
-        .otherwise(raw == v)
-    )
+    chain = F
+    for t in K.TYPES[:-1]:
+        chain = chain.when(type_ == t, strict_form(v, t))
+    return chain.otherwise(raw == v)
 
 
 def shape(c: Column) -> Column:
@@ -51,26 +61,17 @@ def shape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[0-9]+", "D"), "[A-Za-z]+", "A")
 
 
-def is_sentinel(c: Column) -> Column:
-    """Placeholder such as `N/A` typed in place of a missing value."""
-    return F.lower(js_trim(c)).isin(K.SENTINELS)
+def is_sentinel(v: Column) -> Column:
+    """Placeholder such as `N/A` typed in place of a missing value; `v` is trimmed."""
+    return F.lower(v).isin(K.SENTINELS)
 
 
-def to_number(c: Column) -> Column:
-    """Finite number written as plain, exponent, 0x, 0b or 0o text; else null.
+def to_number(v: Column) -> Column:
+    """Finite number from trimmed text, with or without exponent; else null.
 
-    The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`. Prefixed forms
-    are read up to 60 bits.
+    The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`.
     """
-    v = js_trim(c)
-    digits = F.substring(v, 3, 60)
-    n = (
-        F.when(v.rlike(K.NUMBER), v.try_cast("double"))
-        .when(v.rlike(r"\A0[xX][0-9a-fA-F]{1,15}\z"), F.conv(digits, 16, 10).try_cast("double"))
-        .when(v.rlike(r"\A0[bB][01]{1,60}\z"), F.conv(digits, 2, 10).try_cast("double"))
-        .when(v.rlike(r"\A0[oO][0-7]{1,20}\z"), F.conv(digits, 8, 10).try_cast("double"))
-    )
-    return F.when(F.abs(n) < float("inf"), n)
+    return F.when(v.rlike(K.NUMBER), v.try_cast("double"))
 
 
 def collapse_blanks(c: Column) -> Column:

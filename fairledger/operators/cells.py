@@ -21,6 +21,16 @@ def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores when the source comes in fewer pieces than there are cores.
+
+    Cells multiply rows, so one unsplittable file would keep all of that work in one task. Large
+    sources already come in more pieces than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def rows_from_table(
     df: DataFrame, tenant_id: str, project_id: str, version_id: str, row_number: Column,
     columns: list[str],

@@ -6,28 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
-from fairledger.functions.text import classify_value, conforms_strictly, js_trim, shape, to_number
+from fairledger.functions.text import classify_trimmed, js_trim, shape, strict_form, to_number
 from fairledger.operators.cells import value_counts
 from fairledger.scope import COLUMN, PROJECT, VERSION
 
 
 def _semantic_flags(v: Column) -> dict[str, Column]:
     """Does one value look like this semantic type?"""
-    first_percent = F.instr(v, "%")
-    no_percent = js_trim(
-        F.when(
-            first_percent > 0,
-            F.concat(F.substring_index(v, "%", 1), F.substr(v, first_percent + 1)),
-        ).otherwise(v)
-    )
-    share = F.when(no_percent == "", F.lit(0.0)).otherwise(to_number(no_percent))
+    bare = js_trim(F.regexp_replace(v, r"\A([^%]*)%", "$1"))  # without its first percent sign
     return {
         "m_email": v.rlike(K.EMAIL),
         "m_url": v.rlike(K.URL),
         "m_currency": v.isin(K.CURRENCY_CODES),
         "m_country": v.isin(K.COUNTRY_CODES),
         "m_phone": v.rlike(K.PHONE) & (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 7),
-        "m_percent": F.coalesce(share.between(0, 100), F.lit(False)),
+        "m_percent": F.coalesce(F.abs(to_number(bare) - 50) <= 50, bare == ""),
     }
 
 
@@ -41,11 +34,11 @@ def column_facts(counts: DataFrame) -> DataFrame:
     for t in K.TYPES:
         flags[f"n_{t}"] = (value != "") & (F.col("class") == t)
     for t in K.TYPES[:-1]:
-        flags[f"c_{t}"] = (F.col("class") == t) & conforms_strictly(value, F.lit(t))
+        flags[f"c_{t}"] = (F.col("class") == t) & strict_form(value, t)
     flags.update(_semantic_flags(value))
 
     by_shape = (
-        counts.withColumn("class", classify_value(value))
+        counts.withColumn("class", classify_trimmed(value))
         .groupBy(*COLUMN, shape(value).alias("shape"))
         .agg(
             F.sum("n").alias("shape_n"),

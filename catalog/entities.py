@@ -12,7 +12,8 @@ from fairledger.functions import text as T
 from fairledger.operators import (
     audit, decisions, matching, partners, profile, review, rowrules, suppliers, versions,
 )
-from fairledger.plans.staging import stage
+from fairledger.plans import jobs
+from fairledger.scope import for_tenant
 
 # name -> [(table, {column: expression valid in both engines})]
 INPUTS: dict[str, list[tuple[str, dict[str, str]]]] = {
@@ -513,7 +514,33 @@ def project_quality(spark, sf):
     )
 
 
+def tenant_scope(spark, sf):
+    return for_tenant(table(spark, sf, "partners"), "acme", "web").select("id", "primary_name")
+
+
+def partner_list(spark, sf):
+    dated = table(spark, sf, "addresses").select("tenant_id", "id", "created_at")
+    return partners.newest_first(for_tenant(dated, "acme"))
+
+
+def version_history(spark, sf):
+    return versions.history(_all_versions(spark, sf))
+
+
+def match_job(spark, sf):
+    existing = _exact_and_existing(spark, sf)[1]
+    done = jobs.match_job(*_three(spark, sf), existing, table(spark, sf, "answers"))
+    return done.summary
+
+
+def match_job_audit(spark, sf):
+    existing = _exact_and_existing(spark, sf)[1]
+    done = jobs.match_job(*_three(spark, sf), existing, table(spark, sf, "answers"), "u9")
+    return done.audit.select("tenant_id", "actor_user_id", "action", "entity_id", "new_value")
+
+
 QUERIES = {f.__name__: f for f in (
+    tenant_scope, partner_list, version_history, match_job, match_job_audit,
     trigram_similarity, whole_text_similarity, name_key, address_key, identifier_key, exact_groups,
     exact_match, exact_match_documents, primary_address, fuzzy_match, match_overlay,
     ambiguous_pairs, pending_pairs, match_refresh, match_summary, match_list, score_pairs,
@@ -647,7 +674,28 @@ DIFF = ctes("before", "after") + """select tenant_id, case when b.id is null the
   where b.id is null or b.name is distinct from a.name
     or b.segment is distinct from a.segment"""
 
+RUN = FUZZY.replace("with partners", "with answers as (" + ctes("answers")[len("with answers as ("):]
+                    + ", partners", 1) + _exact_sql("partners", "identifiers") + OPINIONS + f""",
+found as (select {ROW} from exact union all select {ROW} from fuzzy anti join exact using ({PAIR})),
+run as (select f.tenant_id, f.project_id, count(*) as candidates_found,
+  count(*) filter (where e.decision is null or e.decision = 'needs_review') as new_or_refreshed,
+  count(*) filter (where e.decision <> 'needs_review') as skipped_already_decided,
+  count(o.ai_recommendation) filter (where (e.decision is null or e.decision = 'needs_review')
+    and f.match_method = 'fuzzy' and f.confidence >= 0.5 and f.confidence < 0.9) as adjudicated
+  from found f left join existing e using ({PAIR}) left join opinions o using ({PAIR})
+  group by all)
+"""
+
 ORACLES = {
+    "tenant_scope": ctes("partners") + "select id, primary_name from partners "
+    "where tenant_id = 'acme' and project_id = 'web'",
+    "partner_list": ctes("addresses") + "select tenant_id, id, created_at from addresses "
+    "where tenant_id = 'acme' order by created_at desc, id",
+    "version_history": VERSIONS + "select * from everything",
+    "match_job": RUN + "select * from run",
+    "match_job_audit": RUN + "select tenant_id, 'u9' as actor_user_id, 'entity_match.run' as "
+    "action, project_id as entity_id, '{\"candidates_found\":' || candidates_found || "
+    "',\"adjudicated\":' || adjudicated || '}' as new_value from run",
     "trigram_similarity": f"select page_id, round({_similar('a', 'b')}, 6) as similarity from "
     f"(select page_id, {_trigrams('url')} as a, "
     + _trigrams("split_part(url, '/', 3)") + " as b from pages)",

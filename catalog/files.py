@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from catalog.datasets import BLANKS, CLASS, read, spread
 from fairledger.operators.cells import value_counts
 from fairledger.operators.profile import column_facts
-from fairledger.plans.staging import stage
+from fairledger.plans.staging import folder, stage
 from fairledger.sources import delimited, landing
+from fairledger.streaming import landing as stream
 
 MAX_ROWS = 60
 MARK = "case c_nationkey % 4 when 0 then ',' when 1 then ';' when 2 then chr(9) else '|' end"
@@ -121,9 +123,24 @@ def checksum_landing(spark, sf):
     )
 
 
+def landing_stream(spark, sf):
+    """One file per nation's suppliers, landed, versioned and profiled by the stream."""
+    base = f"{folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    suppliers = read(spark, sf, "supplier").withColumn("nation", F.col("s_nationkey"))
+    suppliers.repartition("nation").write.partitionBy("nation").csv(f"{base}/inbox", header=True)
+    stream.landing_stream(
+        spark, f"{base}/inbox", f"{base}/out", f"{base}/checkpoint", "acme", "inbox"
+    ).awaitTermination()
+    known = spark.read.parquet(f"{base}/out/dataset_versions")
+    profiles = landing.read_versions(spark, f"{base}/out/dataset_profiles")
+    return known.join(profiles, ["tenant_id", "project_id", "dataset_version_id"]).select(
+        "dataset_name", "version_number", "row_count", "column_count"
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     delimiter_detect, charset_decode, ingestion_runs, ragged_rows, ingested_rows, header_columns,
-    ingested_types, rejected_report, checksum_landing,
+    ingested_types, rejected_report, checksum_landing, landing_stream,
 )}
 
 NL = "'\\r\\n|\\n|\\r'"
@@ -197,6 +214,9 @@ rejected as (select {ID}, nth as row_number, replace(r, chr(64977), k.d) as raw_
 """
 
 ORACLES = {
+    "landing_stream": "select 'nation=' || s_nationkey as dataset_name, cast(1 as bigint) as "
+    "version_number, count(*) as row_count, cast(4 as bigint) as column_count from supplier "
+    "group by s_nationkey",
     "delimiter_detect": BASE.rstrip().rstrip(",") + f" select {ID}, d as delimiter from dialect",
     "charset_decode": BASE.rstrip().rstrip(",") + f" select {ID}, case when latin then "
     "'windows-1252' else 'UTF-8' end as encoding, md5(text) as text_md5 from dialect",

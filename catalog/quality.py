@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import datasets as D
 from fairledger.operators import anomalies, profile, semantics
 from fairledger.operators.cells import cells, value_counts
+from fairledger.plans import jobs
 from fairledger.plans.staging import stage
 from fairledger.scope import COLUMN, VERSION
 
@@ -129,7 +130,15 @@ def column_queue(spark, sf):
     )
 
 
+def profile_job(spark, sf):
+    done = jobs.profile_job(D.rows(spark, sf), D.columns(spark))
+    return done.fields.select(
+        *COLUMN, "inferred_type", "semantic_type", *_rounded(["quality_score"])
+    )
+
+
 QUERIES = {
+    "profile_job": profile_job,
     "cells_melt": cells_melt,
     "classify_votes": classify_votes,
     "majority_type": majority_type,
@@ -246,6 +255,9 @@ samples as (select *, row_number() over (partition by {V}, col_idx order by firs
 DIMS = ", ".join(f"round({c}, 6) as {c}" for c in DIMENSIONS)
 
 ORACLES = {
+    "profile_job": SEMANTIC + f"select {V}, col_idx, inferred_type, semantic_type, "
+    f"round(quality_score, 6) as quality_score from scored join (select {V}, col_idx, "
+    f"semantic_type from semantic) using ({V}, col_idx)",
     "cells_melt": D.CTES + "select dataset_version_id, row_number, cast(col_idx as integer) "
     "as col_idx, raw from cells",
     "classify_votes": D.CTES + f"select {V}, cast(col_idx as integer) as col_idx, filled, "

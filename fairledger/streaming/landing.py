@@ -57,10 +57,9 @@ def process_batch(
     parsed.runs.write.mode("append").parquet(f"{folder}/ingestion_runs")
     columns = [*V.DATASET, "dataset_version_id", "arrived_at"]
     arrivals = batch.join(done, VERSION, "left_semi").select(*columns)
-    empty = spark.createDataFrame(
-        [], arrivals.schema.add("version_number", "long").add("parent_version_id", "string")
-    )
-    registered = V.register(arrivals, empty if have is None else have)
+    if have is None:
+        have = arrivals.limit(0).withColumn("version_number", F.lit(0).cast("long"))
+    registered = V.register(arrivals, have)
     # Last of all: until this is written the batch counts as not done and is taken again.
     stage(registered).write.mode("append").parquet(known)
 

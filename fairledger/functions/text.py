@@ -14,8 +14,16 @@ from fairledger.functions import fixed as K
 
 
 def js_trim(c: Column) -> Column:
-    """Trim every Unicode blank (Spark's own trim strips spaces only)."""
-    return F.btrim(c, F.lit(K.WHITESPACE))
+    """Trim every Unicode blank (Spark's own trim strips spaces only).
+
+    Most text starts and ends with printable ASCII and is passed on without a search.
+    """
+    def printable(end: Column) -> Column:
+        return end.between("!", "~")
+
+    return F.when(
+        printable(F.substring(c, 1, 1)) & printable(F.substring(c, -1, 1)), c
+    ).otherwise(F.btrim(c, F.lit(K.WHITESPACE)))
 
 
 def is_blank(c: Column) -> Column:
@@ -23,13 +31,19 @@ def is_blank(c: Column) -> Column:
 
 
 def classify_trimmed(v: Column) -> Column:
-    return (
-        F.when(F.lower(v).isin(K.BOOLEAN_WORDS), "boolean")
-        .when(v.rlike(K.INTEGER), "integer")
+    """As `classify_value`; the first character decides whether any pattern is worth trying."""
+    numeric = (
+        F.when(v.rlike(K.INTEGER), "integer")
         .when(v.rlike(K.DECIMAL), "decimal")
         .when(v.rlike(K.DATE), "date")
         .otherwise("string")
     )
+    word = (F.length(v) <= 5) & F.lower(v).isin(K.BOOLEAN_WORDS)
+    return (
+        F.when(F.substring(v, 1, 1).between("-", "9"), numeric)
+        .when(word, "boolean")
+        .otherwise("string")
+    )
 
 
 def classify_value(c: Column) -> Column:
@@ -57,8 +71,12 @@ def conforms_strictly(raw: Column, type_: Column) -> Column:
 
 
 def shape(c: Column) -> Column:
-    """Digit runs become D, then letter runs become A, so `AB12` and `2024` are both `A`."""
-    return F.regexp_replace(F.regexp_replace(c, "[0-9]+", "D"), "[A-Za-z]+", "A")
+    """Digit runs become D, then letter runs become A.
+
+    The D's are letters by then, so any run of digits and letters ends as one A: `AB12` and `2024`
+    are both `A`, a date is `A-A-A`.
+    """
+    return F.regexp_replace(c, "[0-9A-Za-z]+", "A")
 
 
 def is_sentinel(v: Column) -> Column:
@@ -71,7 +89,9 @@ def to_number(v: Column) -> Column:
 
     The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`.
     """
-    return F.when(v.rlike(K.NUMBER), v.try_cast("double"))
+    return F.when(
+        F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER), v.try_cast("double")
+    )
 
 
 def collapse_blanks(c: Column) -> Column:

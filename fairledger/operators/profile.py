@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
-from fairledger.functions.text import classify_trimmed, js_trim, shape, strict_form, to_number
+from fairledger.functions.text import (
+    classify_trimmed, is_sentinel, js_trim, shape, strict_form, to_number,
+)
 from fairledger.operators.cells import value_counts
 from fairledger.scope import COLUMN, PROJECT, VERSION
 
@@ -35,6 +37,7 @@ def column_facts(counts: DataFrame) -> DataFrame:
         flags[f"n_{t}"] = (value != "") & (F.col("class") == t)
     for t in K.TYPES[:-1]:
         flags[f"c_{t}"] = (F.col("class") == t) & strict_form(value, t)
+    flags["n_sentinel"] = is_sentinel(value)
     flags.update(_semantic_flags(value))
 
     by_shape = (
@@ -72,7 +75,7 @@ def majority_type() -> Column:
     return chosen.otherwise("string")
 
 
-def _of_type(prefix: str) -> Column:
+def of_type(prefix: str) -> Column:
     return F.coalesce(*[
         F.when(F.col("inferred_type") == t, F.col(f"{prefix}_{t}")) for t in K.TYPES
     ])
@@ -99,8 +102,8 @@ def field_profiles(columns: DataFrame, facts: DataFrame) -> DataFrame:
         "distinct_count",
         _share(filled, total, 1.0).alias("completeness"),
         _share(F.col("distinct_count"), filled, 0.0).alias("uniqueness"),
-        _share(_of_type("n"), filled, 1.0).alias("validity"),
-        _share(_of_type("c"), filled, 1.0).alias("conformity"),
+        _share(of_type("n"), filled, 1.0).alias("validity"),
+        _share(of_type("c"), filled, 1.0).alias("conformity"),
         _share(F.col("dominant_n"), filled, 1.0).alias("consistency"),
     )
     dims = ["completeness", "validity", "conformity", "consistency"]

@@ -62,7 +62,7 @@ def dataset_profile(spark, sf):
 
 def _anomaly(*checks):
     def query(spark, sf):
-        rows = D.rows(spark, sf)
+        rows = stage(D.rows(spark, sf))
         stats = anomalies.column_stats(rows, D.columns(spark), with_fences="outlier" in checks)
         return anomalies.cell_anomalies(rows, stats, list(checks)).select(
             "dataset_version_id", "row_number", "col_idx", "column_name", "anomaly_type", "value"
@@ -71,7 +71,7 @@ def _anomaly(*checks):
 
 
 def quartile_fences(spark, sf):
-    rows = D.rows(spark, sf)
+    rows = stage(D.rows(spark, sf))
     found = anomalies.fences(rows, stage(profile.column_facts(value_counts(rows))))
     return found.select(
         *COLUMN, "n", *_rounded(["q1", "q3", "lower_fence", "upper_fence"])
@@ -88,7 +88,7 @@ def duplicate_row(spark, sf):
 
 
 def _all(spark, sf):
-    rows = D.rows(spark, sf)
+    rows = stage(D.rows(spark, sf))
     return anomalies.detect(rows, anomalies.column_stats(rows, D.columns(spark)))
 
 
@@ -131,7 +131,7 @@ def column_queue(spark, sf):
 
 
 def profile_job(spark, sf):
-    done = jobs.profile_job(D.rows(spark, sf), D.columns(spark))
+    done = jobs.profile_job(stage(D.rows(spark, sf)), D.columns(spark))
     return done.fields.select(
         *COLUMN, "inferred_type", "semantic_type", *_rounded(["quality_score"])
     )

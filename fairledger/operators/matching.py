@@ -64,7 +64,7 @@ def exact_groups(partners: DataFrame, identifiers: DataFrame) -> DataFrame:
         )
         .where("group_size > 1")
     )
-    return members.join(groups, key).select(
+    return members.join(stage(groups), key).select(
         *key, "business_partner_id", "identifier_value", "group_size",
         F.col("leader.business_partner_id").alias("leader_id"),
         F.col("leader.identifier_value").alias("leader_value"),
@@ -160,7 +160,7 @@ def name_groups(partners: DataFrame, addresses: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct("id", "address")).alias("leader"),
     )
-    return named.join(groups, [*PROJECT, "name"]).select(
+    return named.join(stage(groups), [*PROJECT, "name"]).select(
         *PROJECT, "name", "id", "address", "group_size",
         F.col("leader.id").alias("leader_id"), F.col("leader.address").alias("leader_address"),
     )

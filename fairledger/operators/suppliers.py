@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairledger.plans.staging import stage
+
 OWNER = ["tenant_id", "business_partner_id"]
 
 
@@ -13,31 +15,31 @@ def check(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     Incoming rows carry `id` and `created_at` and are taken in that order. The same partner, source
     system and number, all given, block. Another record of the same source system only flags.
-    Firsts come from groupings joined back, so no group is gathered however large it is.
+    Firsts come from groupings that are written and joined back, so no group is gathered however
+    large it is, and Spark can split a large one in the join.
     """
     order = F.struct("created_at", "id")
     full, source = [*OWNER, "source_system", "supplier_number"], [*OWNER, "source_system"]
-    known = existing.select(*full)
-    known_full = known.dropna(subset=full).distinct().withColumn("known_copy", F.lit(True))
-    known_source = known.select(*source).dropna().distinct().withColumn(
-        "known_source", F.lit(True)
-    )
-    first_full = incoming.dropna(subset=full).groupBy(*full).agg(F.min(order).alias("first_copy"))
-    first_source = incoming.dropna(subset=source).groupBy(*source).agg(
-        F.min(order).alias("first_source")
-    )
-    joined = (
-        incoming.withColumn("order", order)
-        .join(known_full, full, "left")
-        .join(first_full, full, "left")
-        .join(known_source, source, "left")
-        .join(first_source, source, "left")
+    marked = incoming.withColumn("order", order)
+    kind = marked.schema["order"].dataType
+    both = existing.select(
+        *full, F.lit(True).alias("known"), F.lit(None).cast(kind).alias("order")
+    ).unionByName(marked.select(*full, F.lit(False).alias("known"), "order"))
+
+    def firsts(key: list[str], what: str) -> DataFrame:
+        return stage(
+            both.dropna(subset=key).groupBy(*key)
+            .agg(F.max("known").alias(f"known_{what}"), F.min("order").alias(f"first_{what}"))
+        )
+
+    joined = marked.join(firsts(full, "copy"), full, "left").join(
+        firsts(source, "source"), source, "left"
     )
     never = F.lit(False)
-    blocked = F.col("known_copy").isNotNull() | F.coalesce(
+    blocked = F.coalesce("known_copy", never) | F.coalesce(
         F.col("first_copy") < F.col("order"), never
     )
-    seen = F.col("known_source").isNotNull() | F.coalesce(
+    seen = F.coalesce("known_source", never) | F.coalesce(
         F.col("first_source") < F.col("order"), never
     )
     flagged = ~blocked & seen & (F.coalesce("source_system", F.lit("")) != "")

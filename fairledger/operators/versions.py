@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.operators.numbering import number_in_order
+from fairledger.plans.staging import stage
 
 DATASET = ["tenant_id", "project_id", "dataset_name"]
 
@@ -27,10 +28,10 @@ def register(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
     before in its project starts a dataset at version 1.
     """
     numbered = number_in_order(arrivals, DATASET, ["arrived_at", "dataset_version_id"], "nth")
-    last = latest(existing.select(*DATASET, "version_number", "dataset_version_id")).select(
+    last = stage(latest(existing.select(*DATASET, "version_number", "dataset_version_id")).select(
         *DATASET, F.col("version_number").alias("last_number"),
         F.col("dataset_version_id").alias("last_id"),
-    )
+    ))
     new = (
         numbered.join(last, DATASET, "left")
         .withColumn("version_number", F.col("nth") + F.coalesce("last_number", F.lit(0)))

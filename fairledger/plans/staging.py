@@ -2,7 +2,9 @@
 
 A written table survives the loss of executors, is computed once however often it is read, and has
 a size Spark knows: the planner then broadcasts it only when it is under
-`spark.sql.autoBroadcastJoinThreshold` and shuffles it otherwise.
+`spark.sql.autoBroadcastJoinThreshold` and shuffles it otherwise. Adaptive execution splits a hot
+key only where both sides of a join come straight from a shuffle. A grouping does not, once it is
+written it does: groupings that are joined back to their rows are therefore staged first.
 """
 
 from __future__ import annotations

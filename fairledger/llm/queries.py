@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairledger.llm import exact_dedup, mixing, sharding
+from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding
 
 SHARDS = 16
 MIX_SEED = 17
@@ -103,9 +103,123 @@ from taken x left join dealt e
   on x.source is not distinct from e.source and e.block = x.start // {mixing.BLOCK_WORDS}
 """
 
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), 4, (85, 100))
+
+
+OP8_SQL = f"""
+with recursive d as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), g as materialized (
+  select distinct doc_id, hash(array_to_string(w[k : k + least(4, len(w)) - 1], ' ')) as g
+  from d, unnest(range(1, len(w) - least(4, len(w)) + 2)) u(k) where len(w) > 0
+), n as materialized (select doc_id, count(*) as n from g group by doc_id),
+links as materialized (
+  select a.doc_id as x, b.doc_id as y
+  from g a join g b on a.g = b.g and a.doc_id != b.doc_id
+  join n l on l.doc_id = a.doc_id join n r on r.doc_id = b.doc_id
+  where 100 * least(l.n, r.n) >= 85 * greatest(l.n, r.n)
+  group by a.doc_id, b.doc_id, l.n, r.n
+  having 100 * count(*) >= 85 * (l.n + r.n - count(*))
+), reach as (
+  select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x
+)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(least(doc_id, min(y)), doc_id) as component_id
+from documents left join n using (doc_id) left join reach on x = doc_id group by doc_id, n
+"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = "regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP9_SQL = f"""
+with i as materialized (
+  select item_id, w, least(5, len(w)) as width
+  from (select item_id, {_WORDS} as w from benchmark where text is not null) where len(w) > 0
+), s as materialized (
+  select distinct item_id, width, array_to_string(w[k : k + width - 1], ' ') as g
+  from i, unnest(range(1, len(w) - width + 2)) u(k)
+), d as materialized (
+  select doc_id, {_WORDS} as w from documents where text is not null
+), g as materialized (
+  select distinct doc_id, width, array_to_string(w[k : k + width - 1], ' ') as g
+  from d, (select distinct width from s), unnest(range(1, len(w) - width + 2)) u(k)
+), n as (select item_id, count(*) as item_shingles from s group by item_id)
+select doc_id, item_id, item_shingles, count(*) as found, count(*) / item_shingles as containment
+from g join s using (width, g) join n using (item_id)
+group by doc_id, item_id, item_shingles having 5 * count(*) >= 4 * item_shingles
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = line_dedup.repeats(docs)
+    return line_dedup.cut(docs, spans).select(
+        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("removed_units"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"]),
+                   F.lit(0)).alias("removed_chars"),
+        F.concat_ws(";", F.transform("spans", lambda s: F.concat(
+            s["start"], F.lit("+"), s["length"], F.lit("="), s["keep_doc_id"], F.lit(":"),
+            s["keep_start"]))).alias("removed"),
+        "clean_text",
+    )
+
+
+OP10_SQL = f"""
+with d as materialized (select doc_id, text from documents where doc_id is not null),
+pieces as materialized (
+  select doc_id, unnest(p) as piece, generate_subscripts(p, 1) - 1 as unit
+  from (select doc_id, regexp_extract_all(
+          coalesce(text, ''), '(?s).+?(?:[.!?][ \t]+|\n+|$)') as p from d)
+), u as materialized (
+  select doc_id, unit, piece, length(piece) as length,
+         (sum(length(piece)) over (partition by doc_id order by unit) - length(piece))::bigint as start,
+         len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) as words,
+         array_to_string(regexp_extract_all(translate(piece, '{UPPER}', '{LOWER}'),
+                         '[^\x20\x09-\x0D]+'), ' ') as norm
+  from pieces
+), o as materialized (
+  select *, first_value(doc_id) over same as keep_doc_id, first_value(start) over same as keep_start
+  from u where words >= {line_dedup.UNIT_WORDS}
+  window same as (partition by norm order by doc_id, start)
+), again as (
+  select *, unit - row_number() over (partition by doc_id order by unit) as run
+  from o where doc_id != keep_doc_id or start != keep_start
+), gone as materialized (
+  select doc_id, unit, start, length, keep_doc_id, keep_start from again
+  qualify sum(words) over (partition by doc_id, run) >= {line_dedup.RUN_WORDS}
+), spans as (
+  select doc_id, count(*) as removed_units, sum(length)::bigint as removed_chars,
+         string_agg(start || '+' || length || '=' || keep_doc_id || ':' || keep_start, ';'
+                    order by start) as removed
+  from gone group by doc_id
+), clean as (
+  select doc_id, string_agg(piece, '' order by unit) as clean_text
+  from pieces left join gone using (doc_id, unit) where gone.start is null group by doc_id
+)
+select doc_id, coalesce(removed_units, 0)::int as removed_units,
+       coalesce(removed_chars, 0) as removed_chars, coalesce(removed, '') as removed,
+       case when text is not null then coalesce(clean_text, '') end as clean_text
+from documents left join spans using (doc_id) left join clean using (doc_id)
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
     "op5_source_mixing": op5_source_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {
+    "op1_exact_dedup": OP1_SQL,
+    "op5_source_mixing": OP5_SQL,
+    "op8_jaccard_join": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding
+from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity
 
 SHARDS = 16
 MIX_SEED = 17
@@ -104,6 +104,14 @@ from taken x left join dealt e
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+        "clauses")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), 4, (85, 100))
 
@@ -212,6 +220,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
     "op5_source_mixing": op5_source_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,

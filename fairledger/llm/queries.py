@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity
+from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity, warc
 
 SHARDS = 16
 MIX_SEED = 17
@@ -104,6 +104,15 @@ from taken x left join dealt e
 """
 
 
+#: Date of the crawl that `pages` stand for.
+CRAWLED = "2024-01-01T00:00:00Z"
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.derive(warc.responses(pages, CRAWLED))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -220,6 +229,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
     "op5_source_mixing": op5_source_mixing,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairledger.llm import decontam, exact_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity, warc
+from fairledger.llm import (
+    decontam,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    lm_score,
+    mixing,
+    sharding,
+    toxicity,
+    warc,
+)
 
 SHARDS = 16
 MIX_SEED = 17
@@ -38,6 +48,48 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.select(
+        "doc_id", "n_words", "hits_1", "hits_2", "hits_3", F.round("log_score", 4).alias("log_score"),
+        F.round("per_word", 6).alias("per_word"))
+
+
+OP4_SQL = f"""
+with d as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), t as materialized (
+  select doc_id, i, w[i] as a, case when i > 1 then w[i - 1] || ' ' || w[i] end as b,
+         case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as c,
+         case when i > 1 then w[i - 1] end as ca,
+         case when i > 2 then w[i - 2] || ' ' || w[i - 1] end as cb
+  from d, unnest(range(1, len(w) + 1)) u(i)
+), n1 as materialized (select a as g, count(*) as n from t group by a),
+n2 as materialized (select b as g, count(*) as n from t where b is not null group by b),
+n3 as materialized (select c as g, count(*) as n from t where c is not null group by c),
+s as (
+  select doc_id, case when n3.n >= {lm_score.LEAST} then 3 when n2.n >= {lm_score.LEAST} then 2
+                      else 1 end as hit,
+         least(i, 3) as longest, n1.n as c1, n2.n as c2, n3.n as c3, x1.n as d1, x2.n as d2
+  from t join n1 on n1.g = a left join n2 on n2.g = b left join n3 on n3.g = c
+  left join n1 x1 on x1.g = ca left join n2 x2 on x2.g = cb
+), v as (
+  select doc_id, count(*) as n_words, count(*) filter (hit = 1) as hits_1,
+         count(*) filter (hit = 2) as hits_2, count(*) filter (hit = 3) as hits_3,
+         sum((longest - hit) * ln({lm_score.BACKOFF}) + case hit
+             when 3 then ln(c3) - ln(d2) when 2 then ln(c2) - ln(d1)
+             else ln(c1) - ln((select count(*) from t)) end) as log_score
+  from s group by doc_id
+)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(hits_1, 0) as hits_1,
+       coalesce(hits_2, 0) as hits_2, coalesce(hits_3, 0) as hits_3,
+       round(coalesce(log_score, 0), 4) as log_score, round(log_score / n_words, 6) as per_word
+from documents left join v using (doc_id)
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), seed=MIX_SEED)
     return mixed.select(
@@ -228,6 +280,7 @@ from documents left join spans using (doc_id) left join clean using (doc_id)
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_source_mixing": op5_source_mixing,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_toxicity": op7_toxicity,
@@ -237,6 +290,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_lm_scoring": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_decontamination": OP9_SQL,

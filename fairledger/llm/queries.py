@@ -12,6 +12,7 @@ from fairledger.llm import (
     line_dedup,
     lm_score,
     mixing,
+    quality_lm,
     sharding,
     toxicity,
     warc,
@@ -40,6 +41,11 @@ window same as (partition by body)
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), SHARDS, SHARD_SEED)
     return placed.select(
@@ -279,6 +285,7 @@ from documents left join spans using (doc_id) left join clean using (doc_id)
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_source_mixing": op5_source_mixing,

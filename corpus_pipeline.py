@@ -1,2 +1,101 @@
-QUERIES = {}
-ORACLES = {}
+"""From raw documents to shards of a training mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
+the next one's documents. Stages read only doc_id, text and source of the documents and pass on their
+other columns; doc_id names a row, and what a stage decides for a doc_id holds for all rows with it.
+Rows without doc_id pass toxicity, n-gram join and decontamination as they are, since nothing can be
+said of them by id; in the mix they are one document for each text and source.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fairledger.llm import decontam, jaccard_join, mixing, sharding, toxicity
+from fairledger.plans.staging import folder, stage
+
+SHARDS, MIX_SEED, SHARD_SEED = 16, 17, 29
+NGRAM, SIMILARITY, CONTAINMENT = 5, (4, 5), (4, 5)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(stage(ids.where("doc_id is not null").distinct()), "doc_id", "left_anti")
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1").select("doc_id"))
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays."""
+    groups = jaccard_join.near_duplicates(docs, NGRAM, SIMILARITY)
+    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+
+
+def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = decontam.contained(docs, _table(spark, sf_dir, "benchmark"), NGRAM, CONTAINMENT)
+    return _without(docs, found.select("doc_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them.
+
+    The words taken of a document, in whole documents: rounded, so that only the last document of
+    a source in the mix differs from the words taken. Documents without words have no part in the
+    targets and stay once.
+    """
+    taken = mixing.mix(docs, seed=MIX_SEED).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast(
+            "int").alias("_times"),
+    )
+    # rows that agree in id, source and size have one share of all that the mix takes of them
+    shares = stage(taken.groupBy("_id", "_source", "_size").agg(
+        F.round(F.avg("_times")).cast("int").alias("_times")))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
+    on = (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (size == F.col("_size"))
+    )
+    return docs.join(shares, on).withColumn(
+        "_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row."""
+    return sharding.shard(docs, SHARDS, SHARD_SEED)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("n-gram Jaccard join", near_copies_out),
+    ("benchmark decontamination", leaks_out),
+    ("mixing sources", mixed),
+    ("sharding", sharded),
+]
+
+#: Training, the seeded order by hash and the permutation have no SQL form; the tests use brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written to the shared folder and read again."""
+    docs, base = _table(spark, sf_dir, "documents"), f"{folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, make) in enumerate(STAGES):
+        make(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

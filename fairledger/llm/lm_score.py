@@ -179,7 +179,7 @@ def backoff_scores(
         return pa.table({
             "doc_id": docs["doc_id"].combine_chunks(), "n_words": pa.array(block.lengths),
             **{f"hits_{n}": pa.array(total(hit == n).astype(np.int64)) for n in range(1, order + 1)},
-            "sum": pa.array(total(value)),
+            "sum": pa.array(total(value).astype(float)),
         })
 
     told = blocks.groupBy("block").applyInArrow(first, _ASKED).groupBy("part").applyInArrow(

@@ -47,7 +47,7 @@ _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z)
       | <(?:{'|'.join(RAW)})\b[^<>]*>.*?(?:</(?:{'|'.join(RAW)})\s*>|\Z)
       | <(?P<close>/?)(?P<name>[a-z][a-z0-9]*)(?P<more>(?:"[^"<]*"|'[^'<]*'|[^"'<>])*+)>
-      | <[/!?a-z][^<>]*>""",
+      | </?(?P<loose>[a-z][a-z0-9]*)[^<>]*> | <[/!?][^<>]*>""",
     re.S | re.I | re.X)
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
@@ -71,8 +71,8 @@ def plain(markup: str, base: str) -> tuple[str, str, list[str]]:
     links = {}
 
     def replaced(m):
-        name = (m["name"] or "").lower()
-        if name == "a" and not m["close"] and (href := _HREF.search(m["more"])):
+        name = (m["name"] or m["loose"] or "").lower()
+        if m["name"] and name == "a" and not m["close"] and (href := _HREF.search(m["more"])):
             to = html.unescape(next(g for g in href.groups() if g is not None)).strip()
             try:
                 to = urljoin(base, to)

@@ -15,7 +15,8 @@ from fairledger.plans.staging import folder, stage
 from fairledger.sources import delimited, landing
 from fairledger.streaming import landing as stream
 
-MAX_ROWS = 60
+#: Bounds of the one query that shows them; all others read everything.
+MAX_ROWS, MAX_BYTES = 60, 20_000
 MARK = "case c_nationkey % 4 when 0 then ',' when 1 then ';' when 2 then chr(9) else '|' end"
 # A small file per customer: four dialects, ragged lines, quoted fields, some without header.
 MADE = """concat(
@@ -61,7 +62,7 @@ def files(spark, sf) -> DataFrame:
 
 
 def _ingested(spark, sf):
-    return delimited.ingest(files(spark, sf).drop("text"), max_rows=MAX_ROWS)
+    return delimited.ingest(files(spark, sf).drop("text"))
 
 
 def delimiter_detect(spark, sf):
@@ -85,6 +86,19 @@ def ingestion_runs(spark, sf):
     )
 
 
+NAMED = """concat(dataset_version_id, case right(dataset_version_id, 1) when '0' then '.xlsx'
+  when '1' then '.XLS' when '2' then '.xlsx.csv' else '.csv' end)"""
+
+
+def ingestion_guards(spark, sf):
+    """Runs under a bound of rows and bytes, with some files named as workbooks."""
+    named = files(spark, sf).drop("text").withColumn("filename", F.expr(NAMED))
+    runs = delimited.ingest(named, MAX_BYTES, MAX_ROWS).runs
+    return runs.select(
+        "dataset_version_id", "filename", "status", "source_format", "detected_encoding",
+        "row_count", "accepted_row_count", "error_message")
+
+
 def ragged_rows(spark, sf):
     return _ingested(spark, sf).rejected.select(
         "dataset_version_id", "row_number", "raw_content", "reason"
@@ -139,7 +153,7 @@ def landing_stream(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    delimiter_detect, charset_decode, ingestion_runs, ragged_rows, ingested_rows, header_columns,
+    delimiter_detect, charset_decode, ingestion_runs, ingestion_guards, ragged_rows, ingested_rows, header_columns,
     ingested_types, rejected_report, checksum_landing, landing_stream,
 )}
 
@@ -163,54 +177,60 @@ best as (select * from modes where w > 1 qualify row_number() over (partition by
 dialect as (select {ID}, text, latin, coalesce(b.d, ',') as d from files left join best b
   using ({ID})),
 """
-PARSED = BASE + f"""pieces as (select {ID}, d, unnest(string_split(text, '"')) as piece,
-  generate_subscripts(string_split(text, '"'), 1) as seq from dialect),
-joined as (select {ID}, d, count(*) as quotes, string_agg(case when seq % 2 = 1 then
-  replace(regexp_replace(piece, {NL}, chr(64976), 'g'), d, chr(64977)) else piece end, '"'
-  order by seq) as marked from pieces group by all),
+STRAY = "concat('([^\\r\\n\"', d, '])\"([^\\r\\n\"', d, '])')"
+PARSED = BASE + f"""cleaned as materialized (select {ID}, d, regexp_replace(regexp_replace(text, {STRAY},
+  concat('\\1', chr(64978), '\\2'), 'g'), {STRAY}, concat('\\1', chr(64978), '\\2'), 'g') as text
+  from dialect),
+pieces as (select {ID}, d, unnest(string_split(text, '"')) as piece,
+  generate_subscripts(string_split(text, '"'), 1) as seq from cleaned),
+ends as (select {ID}, regexp_extract(piece, '(\\r\\n|\\n|\\r)', 1) as nl from pieces
+  where seq % 2 = 1 and regexp_matches(piece, {NL})
+  qualify row_number() over (partition by {ID} order by seq) = 1),
+joined as (select {ID}, d, string_agg(case when seq % 2 = 1 then
+  replace(replace(piece, coalesce(nl, chr(10)), chr(64976)), d, chr(64977)) else piece end, '"'
+  order by seq) as marked from pieces left join ends using ({ID}) group by all),
 cut as (select {ID}, d, unnest(string_split(marked, chr(64976))) as r,
   generate_subscripts(string_split(marked, chr(64976)), 1) as seq from joined),
-records as (select {ID}, d, r, row_number() over (partition by {ID} order by seq) as nth,
+split as materialized (select {ID}, d, r, row_number() over (partition by {ID} order by seq) as nth,
   length(r) - length(replace(r, chr(64977), '')) + 1 as w from cut where r <> ''),
+raw_fields as materialized (select {ID}, nth, unnest(string_split(r, chr(64977))) as f,
+  generate_subscripts(string_split(r, chr(64977)), 1) as col from split),
+broken as (select distinct {ID}, nth from raw_fields where contains(f, chr(64978))
+  or contains(f, '"') and not regexp_full_match(f, '(?s)"([^"]|"")*"')),
+records as materialized (select s.*, b.nth is not null as bad from split s left join broken b
+  using ({ID}, nth)),
 common as (select {ID}, w as width from (select {ID}, w, count(*) as n, min(nth) as first
-  from records group by all) qualify row_number() over (partition by {ID}
+  from records where not bad group by all) qualify row_number() over (partition by {ID}
   order by n desc, first) = 1),
-raw_fields as (select {ID}, nth, w, unnest(string_split(r, chr(64977))) as f,
-  generate_subscripts(string_split(r, chr(64977)), 1) as col from records),
-broken as (select distinct {ID} from raw_fields where contains(f, '"')
-  and not regexp_full_match(f, '(?s)"([^"]|"")*"')
-  union select {ID} from joined where quotes % 2 = 0),
 good as (select {ID}, row_number() over (partition by {ID} order by nth) as pos, nth
-  from records join common using ({ID}) where w = width),
-fields as (select {ID}, pos, col, case when f[1] = '"' then replace(f[2:-2], '""', '"') else f end
+  from records join common using ({ID}) where w = width and not bad),
+fields as materialized (select {ID}, pos, col,
+  case when f[1] = '"' then replace(f[2:-2], '""', '"') else f end
   as f from raw_fields join good using ({ID}, nth)),
 typed as (select *, {CLASS} as class from (select *, trim(f, {BLANKS}) as v from fields)),
 below as (select {ID}, col, count(*) as n,
   count(*) filter (where class = 'integer') as i, count(*) filter (where class = 'decimal') as dc,
   count(*) filter (where class = 'boolean') as bo, count(*) filter (where class = 'date') as da
-  from typed where pos between 2 and 21 and v <> '' group by all),
+  from typed where pos between 2 and 21 and f <> '' and v <> '' group by all),
 signal as (select {ID}, col, case when i * 2 > n then 'integer' when dc * 2 > n then 'decimal'
   when bo * 2 > n then 'boolean' when da * 2 > n then 'date' end as type from below),
 votes as (select {ID}, count(*) as n, count(*) filter (where t.class <> type) as differ
   from signal join typed t using ({ID}, col) where type is not null and pos = 1 group by all),
 sizes as (select {ID}, count(*) as records from records group by all),
 fits as (select {ID}, count(*) as fit from good group by all),
-headers as (select {ID}, text, latin, d, coalesce(records, 0) as records, coalesce(fit, 0) as fit,
+judged as materialized (select *, records - cast(header as int) as total from (
+  select {ID}, latin, d, coalesce(records, 0) as records, coalesce(fit, 0) as fit,
   width, case when coalesce(fit, 0) = 0 then false when fit < 2 then true
-  else coalesce(differ * 2 >= n, true) end as header, b.{ID} is not null as bad
+  else coalesce(differ * 2 >= n, true) end as header
   from dialect left join sizes using ({ID}) left join fits using ({ID})
-  left join common using ({ID}) left join votes using ({ID})
-  left join broken b using ({ID})),
-judged as (select *, records - cast(header as int) as total, case when bad then
-  'Quotes are not well formed' when records - cast(header as int) > {MAX_ROWS} then
-  'File has ' || (records - cast(header as int)) || ' rows, limit {MAX_ROWS}' end as error
-  from headers),
-kept as (select * from judged where error is null),
+  left join common using ({ID}) left join votes using ({ID}))),
 rows as (select {ID}, pos - cast(header as int) as row_number, col, f from fields
-  join kept using ({ID}) where pos > cast(header as int)),
-rejected as (select {ID}, nth as row_number, replace(r, chr(64977), k.d) as raw_content,
-  'Expected ' || width || ' field(s), found ' || w as reason
-  from records join kept k using ({ID}) where w <> width)
+  join judged using ({ID}) where pos > cast(header as int)),
+rejected as (select {ID}, nth as row_number,
+  replace(replace(r, chr(64977), k.d), chr(64978), '"') as raw_content,
+  case when bad then 'Quotes are not well formed' else
+  'Expected ' || width || ' field(s), found ' || w end as reason
+  from records join judged k using ({ID}) where bad or w <> width)
 """
 
 ORACLES = {
@@ -220,20 +240,32 @@ ORACLES = {
     "delimiter_detect": BASE.rstrip().rstrip(",") + f" select {ID}, d as delimiter from dialect",
     "charset_decode": BASE.rstrip().rstrip(",") + f" select {ID}, case when latin then "
     "'windows-1252' else 'UTF-8' end as encoding, md5(text) as text_md5 from dialect",
-    "ingestion_runs": PARSED + f"""select {ID}, case when error is null then 'completed'
-  else 'failed' end as status, case when latin then 'windows-1252' else 'UTF-8' end
-  as detected_encoding, d as detected_delimiter, case when not bad then header end as has_header,
-  case when not bad then cast(total as integer) end as row_count,
-  case when error is null then cast(fit - cast(header as int) as integer) end
-    as accepted_row_count,
-  case when error is null then cast(records - fit as integer) end as rejected_row_count,
-  error as error_message from judged""",
+    "ingestion_runs": PARSED + f"""select {ID}, 'completed' as status,
+  case when latin then 'windows-1252' else 'UTF-8' end as detected_encoding,
+  d as detected_delimiter, header as has_header, cast(total as integer) as row_count,
+  cast(fit - cast(header as int) as integer) as accepted_row_count,
+  cast(records - fit as integer) as rejected_row_count,
+  cast(null as varchar) as error_message from judged""",
+    "ingestion_guards": PARSED + f"""select {ID}, filename,
+  case when error is null then 'completed' else 'failed' end as status,
+  case when book then 'xlsx' else 'csv' end as source_format,
+  case when not book and not big then case when latin then 'windows-1252' else 'UTF-8' end end
+    as detected_encoding,
+  case when not book and not big then cast(total as integer) end as row_count,
+  case when error is null then cast(fit - cast(header as int) as integer) end as accepted_row_count,
+  error as error_message
+  from (select *, case when big then 'File is larger than {MAX_BYTES} bytes'
+    when book then 'Workbooks are not read' when total > {MAX_ROWS}
+    then 'File has ' || total || ' rows, limit {MAX_ROWS}' end as error
+    from (select *, {NAMED} as filename, right({ID}, 1) in ('0', '1') as book,
+      case when latin then length(text) else strlen(text) end > {MAX_BYTES} as big
+      from judged join (select {ID}, text from dialect) using ({ID})))""",
     "ragged_rows": PARSED + "select * from rejected",
     "ingested_rows": PARSED + f"select {ID}, row_number, string_agg(f, chr(10) order by col) "
     "as fields from rows group by all",
     "header_columns": PARSED + f"select {ID}, cast(col - 1 as integer) as col_idx, "
     "case when header and v <> '' then v else 'column_' || col end as column_name "
-    f"from typed join kept using ({ID}) where pos = 1",
+    f"from typed join judged using ({ID}) where pos = 1",
     "ingested_types": PARSED + f""", marked as (select *, {CLASS} as class from (select *,
   trim(f, {BLANKS}) as v from rows)) select {ID}, cast(col - 1 as integer) as col_idx,
   count(*) as row_count, coalesce(

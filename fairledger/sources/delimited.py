@@ -1,8 +1,9 @@
 """Bulk reading of delimited files: charset, dialect, header, ragged rows, limits, run report.
 
-A file is one row until its records are known. It is at most `max_bytes` large (50 MB unless set
-otherwise), so that row has a bound, and charset, dialect, width and header need no shuffle. Only
-then the records are exploded.
+A file is one row until its records are known, so charset, dialect, width and header need no shuffle.
+Only then the records are exploded. `max_bytes` bounds that row, and `max_rows` the rows of a file;
+both refuse whole files, so both are off unless the caller sets them (`fixed.MAX_FILE_BYTES` and
+`fixed.MAX_ROWS` are customary).
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from fairledger.scope import VERSION
 
 NEWLINE = r"\r\n|\n|\r"
 # Noncharacters, which text cannot hold: they stand for record and field ends outside quotes.
-RECORD_END, FIELD_END = "\ufdd0", "\ufdd1"
+# A third stands for a quote within a bare field, or within a quoted one where it should be doubled.
+RECORD_END, FIELD_END, STRAY = "\ufdd0", "\ufdd1", "\ufdd2"
+BAD_QUOTES = "Quotes are not well formed"
 # windows-1252 where it differs from ISO-8859-1: bytes 80..9F, unassigned ones as U+FFFD.
 CP1252 = (
     "\u20ac\ufffd\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\ufffd\u017d"
@@ -37,9 +40,14 @@ class Ingested:
     rejected: DataFrame  # VERSION, row_number, raw_content, reason
 
 
-def read_files(spark: SparkSession, paths: list[str] | str, max_bytes: int = K.MAX_FILE_BYTES):
+def read_files(
+    spark: SparkSession, paths: list[str] | str, max_bytes: int | None = None
+) -> DataFrame:
     """(path, filename, length, content) of all files; content of oversized ones is not read."""
     files = spark.read.format("binaryFile").load(paths)
+    if max_bytes is None:
+        name = F.element_at(F.split("path", "/"), -1).alias("filename")
+        return files.select("path", name, "length", "content")
     name = F.element_at(F.split("path", "/"), -1).alias("filename")
     fit = files.where(F.col("length") <= max_bytes).select("path", name, "length", "content")
     over = files.where(F.col("length") > max_bytes).select(
@@ -104,18 +112,34 @@ def detect_delimiter(text: Column) -> Column:
     return F.coalesce(_bind(best, lambda b: F.when(b["s"] > 0, b["mark"])), F.lit(","))
 
 
+def _marked_strays(text: Column, delimiter: Column) -> Column:
+    """Quotes that neither open nor close a field, nor stand beside another, as marks."""
+    other = F.concat(F.lit('[^\r\n"'), delimiter, F.lit("]"))
+    return F.regexp_replace(
+        text, F.concat(F.lit("(?<="), other, F.lit(')"(?='), other, F.lit(")")), F.lit(STRAY)
+    )
+
+
 def split_records(text: Column, delimiter: Column) -> Column:
     """Records of the text, field ends marked. Quoted delimiters and line ends stay in the field.
 
-    Cutting at every quote makes each second piece the inside of quotes, in one linear pass.
+    Cutting at every quote that is none of the strays makes each second piece the inside of quotes,
+    in one linear pass. The first line end outside quotes is the file's only kind.
     """
-    def mark(piece: Column, i: Column) -> Column:
-        outside = F.replace(
-            F.regexp_replace(piece, NEWLINE, RECORD_END), delimiter, F.lit(FIELD_END)
+    def cut(pieces: Column) -> Column:
+        outside = F.filter(pieces, lambda p, i: (i % 2 == 0) & p.rlike(NEWLINE))
+        end = F.coalesce(
+            F.regexp_extract(F.get(outside, F.lit(0)), f"({NEWLINE})", 1), F.lit("\n")
         )
-        return F.when(i % 2 == 0, outside).otherwise(piece)
 
-    marked = F.array_join(F.transform(F.split(text, '"'), mark), '"')
+        def mark(piece: Column, i: Column, end: Column) -> Column:
+            bare = F.replace(F.replace(piece, end, F.lit(RECORD_END)), delimiter, F.lit(FIELD_END))
+            return F.when(i % 2 == 0, bare).otherwise(piece)
+
+        return _bind(end, lambda e: F.array_join(
+            F.transform(pieces, lambda p, i: mark(p, i, e)), '"'))
+
+    marked = _bind(F.split(_marked_strays(text, delimiter), '"'), cut)
     return F.filter(F.split(marked, RECORD_END), lambda r: r != "")
 
 
@@ -182,51 +206,63 @@ def detect_header(accepted: Column, width: Column) -> Column:
     )
 
 
-def parse(files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES, max_rows: int = K.MAX_ROWS):
+def parse(
+    files: DataFrame, max_bytes: int | None = None, max_rows: int | None = None
+) -> DataFrame:
     """One row per file with its dialect, records, counts and verdict.
 
-    files: VERSION, filename, length, content.
+    files: VERSION, filename, length, content. A record with misplaced quotes is rejected by itself,
+    and has no say in the width.
     """
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     opened = files.withColumn("source_format", detect_format(F.col("filename"))).withColumn(
-        "readable", (F.col("source_format") == "csv") & (F.col("length") <= max_bytes)
+        "readable", (F.col("source_format") == "csv") & fits
     )
     decoded = opened.withColumn(
         "detected_encoding", F.when(F.col("readable"), encoding_of(F.col("content")))
     ).withColumn(
         "text", F.when(F.col("readable"), decode(F.col("content"), F.col("detected_encoding")))
     )
+
+    def record(r: Column) -> Column:
+        bad = F.contains(r, F.lit(STRAY)) | F.exists(F.split(r, FIELD_END), _bad_quotes)
+        return F.struct(r.alias("r"), _width(r).alias("w"), bad.alias("bad"))
+
+    good = F.filter("records", lambda x: ~x["bad"])
     cut = (
         decoded.withColumn(
             "detected_delimiter",
             F.when(F.col("text").isNotNull(), detect_delimiter(F.col("text"))),
         )
-        .withColumn("records", split_records(F.col("text"), F.col("detected_delimiter")))
-        .withColumn("width", _mode(F.transform("records", _width))["v"])
         .withColumn(
-            "accepted",
-            F.filter("records", lambda r: _width(r) == F.col("width")),
+            "records",
+            F.transform(split_records(F.col("text"), F.col("detected_delimiter")), record),
         )
+        .withColumn("width", _mode(F.transform(good, lambda x: x["w"]))["v"])
+        .withColumn("accepted", F.transform(
+            F.filter("records", lambda x: ~x["bad"] & (x["w"] == F.col("width"))),
+            lambda x: x["r"],
+        ))
         .withColumn("has_header", detect_header(F.col("accepted"), F.col("width")))
         .withColumn("n_records", F.size("records"))
         .withColumn("n_accepted", F.size("accepted") - F.col("has_header").cast("int"))
         .withColumn("n_rejected", F.size("records") - F.size("accepted"))
     )
-    quotes = F.contains("text", F.lit('"')) & (
-        (_occurrences(F.col("text"), F.lit('"')) % 2 == 1)
-        | F.exists("records", lambda r: F.exists(F.split(r, FIELD_END), _bad_quotes))
-    )
     total = F.col("n_accepted") + F.col("n_rejected")
-    error = (
-        F.when(F.col("length") > max_bytes, F.lit(f"File is larger than {max_bytes} bytes"))
-        .when(F.col("source_format") == "xlsx", "Workbooks are not read")
-        .when(F.col("text").rlike(f"[{RECORD_END}{FIELD_END}]"), "File holds noncharacters")
-        .when(quotes, "Quotes are not well formed")
-        .when(
+    error = F.when(F.col("source_format") == "xlsx", "Workbooks are not read").when(
+        F.col("readable") & F.col("content").isNull(), "File has no content"
+    ).when(
+        F.col("text").rlike(f"[{RECORD_END}{FIELD_END}{STRAY}]"), "File holds noncharacters")
+    if max_bytes is not None:
+        error = F.when(
+            F.col("length") > max_bytes, F.lit(f"File is larger than {max_bytes} bytes")
+        ).otherwise(error)
+    if max_rows is not None:
+        error = F.coalesce(error, F.when(
             total > max_rows,
             F.concat(F.lit("File has "), total.cast("string"), F.lit(f" rows, limit {max_rows}")),
-        )
-    )
-    return cut.withColumn("error_message", error).drop("text", "content", "readable", "accepted")
+        ))
+    return cut.withColumn("error_message", error).drop("text", "content", "readable")
 
 
 def runs_of(parsed: DataFrame) -> DataFrame:
@@ -247,7 +283,7 @@ def runs_of(parsed: DataFrame) -> DataFrame:
 
 def _split_up(parsed: DataFrame) -> Ingested:
     good = parsed.where(F.col("error_message").isNull())
-    fits = F.filter("records", lambda r: _width(r) == F.col("width"))
+    fits = F.col("accepted")
     data = F.when(F.col("has_header"), F.slice(fits, 2, F.greatest(F.size(fits), F.lit(1))))
     rows = good.select(
         *VERSION, F.posexplode(data.otherwise(fits)).alias("pos", "record")
@@ -270,25 +306,30 @@ def _split_up(parsed: DataFrame) -> Ingested:
             "col_idx", "column_name"
         ),
     )
-    numbered = F.transform(
-        "records", lambda r, i: F.struct((i + 1).cast("long").alias("row_number"), r.alias("r"))
+    refused = F.filter(
+        F.transform("records", lambda x, i: F.struct(
+            (i + 1).cast("long").alias("row_number"), x["r"].alias("r"), x["w"].alias("w"),
+            x["bad"].alias("bad"),
+        )),
+        lambda x: x["bad"] | (x["w"] != F.col("width")),
     )
-    ragged = F.filter(numbered, lambda x: _width(x["r"]) != F.col("width"))
     rejected = good.select(
-        *VERSION, "width", "detected_delimiter", F.explode(ragged).alias("x")
+        *VERSION, "width", "detected_delimiter", F.explode(refused).alias("x")
     ).select(
         *VERSION, "x.row_number",
-        F.replace("x.r", F.lit(FIELD_END), F.col("detected_delimiter")).alias("raw_content"),
-        F.concat(
+        F.replace(
+            F.replace("x.r", F.lit(FIELD_END), F.col("detected_delimiter")), F.lit(STRAY), F.lit('"')
+        ).alias("raw_content"),
+        F.when(F.col("x.bad"), BAD_QUOTES).otherwise(F.concat(
             F.lit("Expected "), F.col("width").cast("string"), F.lit(" field(s), found "),
-            _width(F.col("x.r")).cast("string"),
-        ).alias("reason"),
+            F.col("x.w").cast("string"),
+        )).alias("reason"),
     )
     return Ingested(runs_of(parsed), columns, rows, rejected)
 
 
 def ingest(
-    files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES, max_rows: int = K.MAX_ROWS
+    files: DataFrame, max_bytes: int | None = None, max_rows: int | None = None
 ) -> Ingested:
     """Parse all files once, write the result to the shared folder and open its four tables."""
     return _split_up(stage(parse(files, max_bytes, max_rows)))
@@ -306,9 +347,9 @@ def rejected_report(rejected: DataFrame) -> DataFrame:
 
 
 def write_rejected(rejected: DataFrame, path: str) -> None:
-    """The report as CSV files, one folder per version."""
-    rejected.select(
-        "tenant_id", "dataset_version_id", "row_number", "reason", "raw_content"
-    ).orderBy("tenant_id", "dataset_version_id", "row_number").write.mode("overwrite").partitionBy(
-        "tenant_id", "dataset_version_id"
-    ).csv(path, header=True, escape='"')
+    """The report as CSV files, one folder per version; other versions' reports stay."""
+    rejected.select(*VERSION, "row_number", "reason", "raw_content").repartitionByRange(
+        *VERSION, "row_number"
+    ).sortWithinPartitions(*VERSION, "row_number").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*VERSION).csv(path, header=True, escape='"')

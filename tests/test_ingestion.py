@@ -25,7 +25,8 @@ FILES = {
     "stray": b'a,b\n1,2"3\n', "after": b'a,b\n1,"2"3\n', "open": b'a,b\n1,"23\n', "empty": b"",
     "single": b"id\n1\n2\n3\n", "long": b"n\n" + b"1\n" * 9,
     "names": b"a,a,\n1,2,3\n4,5,6", "text": b"name,country\nAcme,US\nGlobex,DE",
-    "ragged_header": b"a,b,c\n1,2\n3,4\n5,6",
+    "ragged_header": b"a,b,c\n1,2\n3,4\n5,6", "inner": b'a,b\n1,x\n3,5" pipe\n4,y\n',
+    "mixed_ends": b"id,name\n1,a\r\n2,b\n", "quoted_end": b'id,name\r\n1,"x\ny"\r\n2,z\r\n',
 }
 SCHEMA = ("tenant_id string, project_id string, dataset_version_id string, filename string, "
           "length long, content binary")
@@ -36,7 +37,7 @@ def ingested(spark):
     data = [("t", "p", k, f"{k}.csv", len(v), bytearray(v)) for k, v in FILES.items()]
     data += [("t", "p", "book", "b.XLSX", 2, bytearray(b"PK")),
              ("t", "p", "big", "big.csv", 10**9, None)]
-    return delimited.ingest(spark.createDataFrame(data, SCHEMA), max_rows=8)
+    return delimited.ingest(spark.createDataFrame(data, SCHEMA), max_bytes=50 << 20, max_rows=8)
 
 
 def of(df, version, *cols):
@@ -53,14 +54,40 @@ def test_runs(ingested):
     assert runs["headerless"]["has_header"] is False
     assert runs["text"]["has_header"] is True
     failed = {k for k, r in runs.items() if r["status"] == "failed"}
-    assert failed == {"stray", "after", "open", "book", "big", "long"}
+    assert failed == {"book", "big", "long"}
     assert runs["long"]["row_count"] == 9 and "limit 8" in runs["long"]["error_message"]
 
 
 def test_failed_files_leave_nothing(ingested):
     for df in (ingested.rows, ingested.rejected, ingested.columns):
         assert not {r[0] for r in df.select("dataset_version_id").distinct().collect()} & {
-            "stray", "after", "open", "book", "big", "long"}
+            "book", "big", "long"}
+
+
+@pytest.mark.parametrize("name,raw", [
+    ("stray", '1,2"3'), ("after", '1,"2"3\n'), ("open", '1,"23\n'), ("inner", '3,5" pipe')])
+def test_a_bad_quote_rejects_its_record(ingested, name, raw):
+    assert of(ingested.rejected, name, "raw_content", "reason") == [(raw, "Quotes are not well formed")]
+    assert len(of(ingested.rows, name, "fields")) == (2 if name == "inner" else 0)
+
+
+def test_the_first_line_end_is_the_only_one(ingested):
+    assert of(ingested.rows, "mixed_ends", "fields") == [(["1", "a\r"],), (["2", "b"],)]
+    assert of(ingested.rows, "quoted_end", "fields") == [(["1", "x\ny"],), (["2", "z"],)]
+
+
+def test_no_limit_unless_set(spark):
+    data = [("t", "p", "long", "long.csv", 20 << 30, bytearray(b"n\n" + b"1\n" * 300_000))]
+    assert delimited.ingest(spark.createDataFrame(data, SCHEMA)).rows.count() == 300_000
+
+
+def test_reports_of_versions_stay(ingested, spark, tmp_path):
+    path = str(tmp_path / "rejected")
+    for version in ("ragged", "stray", "ragged"):
+        delimited.write_rejected(
+            ingested.rejected.where(F.col("dataset_version_id") == version), path)
+    lines = spark.read.csv(path, header=True, escape='"')
+    assert sorted(r["dataset_version_id"] for r in lines.collect()) == ["ragged", "ragged", "stray"]
 
 
 def test_rows(ingested):
@@ -130,7 +157,7 @@ def test_stream(spark, tmp_path):
         ).awaitTermination()
 
     (inbox / "vendors" / "one.csv").write_bytes(FILES["ragged"])
-    (inbox / "vendors" / "bad.csv").write_bytes(FILES["stray"])
+    (inbox / "vendors" / "bad.xlsx").write_bytes(b"PK")
     run()
     known = spark.read.parquet(f"{out}/dataset_versions")
     assert known.select("dataset_name", "version_number").collect() == [("vendors", 1)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
@@ -59,6 +59,10 @@ def apply(matches: DataFrame, decisions: DataFrame) -> Outcome:
         F.coalesce("new.user_id", "decided_by").alias("decided_by"),
         F.coalesce("new.decided_at", "decided_at").alias("decided_at"),
     )
+    # What a decision replaces is the allowed one before it on the same pair, else the stored one.
+    before = Window.partitionBy(*PAIR).orderBy("decided_at", "user_id", "decision")
+    ok = ok.withColumn(
+        "old_decision", F.coalesce(F.lag("decision").over(before), F.col("old_decision")))
     entity = F.concat_ws("::", "business_partner_id", "candidate_business_partner_id")
     recorded = events(
         ok, "entity_match.decision_recorded", "EntityMatch", entity_id=entity,

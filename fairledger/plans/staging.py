@@ -9,27 +9,43 @@ written it does: groupings that are joined back to their rows are therefore stag
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_local_folder: dict[str, str] = {}
+_named: dict[str, str] = {}
+_staged: list[str] = []
+
+
+def use_folder(path: str) -> None:
+    """The folder of sessions on one machine that do not name one, as in tests."""
+    _named["path"] = path
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where Spark itself runs on one machine."""
+    """The shared folder that the session names in `spark.checkpoint.dir`."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = _named.get("path")
+    if not named:
         raise ValueError(f"set {SETTING} to a folder that all executors can reach")
-    return _local_folder.setdefault("path", tempfile.mkdtemp(prefix="fairledger-"))
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the tables this process has staged so far, once what was made of them is written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        done += path.getFileSystem(conf).delete(path, True)
+    return done

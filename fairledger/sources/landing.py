@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,23 +45,27 @@ def land(files: DataFrame, path: str) -> None:
 
 
 def _exists(spark, path: str) -> bool:
+    """Is there a table; any fault but a missing path or an empty folder is raised."""
     try:
-        spark.read.parquet(path).limit(0).count()
+        spark.read.parquet(path)
         return True
-    except Exception:  # noqa: BLE001 - the reader's error for a missing path varies by store
-        return False
+    except AnalysisException as fault:
+        if fault.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def replace_versions(df: DataFrame, versions: DataFrame, path: str) -> None:
     """Replace all rows of the given versions, and only those.
 
     A marker row per version makes sure that a version with no rows any more loses its old ones.
+    Versions are written whole by few tasks, large ones by several.
     """
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in VERSION]
     markers = versions.select(*VERSION).distinct().select(*VERSION, *none, F.lit(True).alias(MARK))
-    df.withColumn(MARK, F.lit(False)).unionByName(markers).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*VERSION).parquet(path)
+    df.withColumn(MARK, F.lit(False)).unionByName(markers).hint("rebalance", *VERSION).write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy(*VERSION).parquet(path)
 
 
 def read_versions(spark, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fairledger.operators.cells import value_counts
 from fairledger.operators.profile import column_facts
 from fairledger.sources import delimited, landing
+from fairledger.streaming import landing as stream
 from fairledger.streaming.landing import landing_stream
 
 MESSY = (
@@ -161,7 +162,7 @@ def test_stream(spark, tmp_path):
     run()
     known = spark.read.parquet(f"{out}/dataset_versions")
     assert known.select("dataset_name", "version_number").collect() == [("vendors", 1)]
-    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/ingestion_runs").collect()) == [
+    assert sorted(r["status"] for r in landing.read_versions(spark, f"{out}/ingestion_runs").collect()) == [
         "completed", "failed"]
     (inbox / "vendors" / "two.csv").write_bytes(FILES["messy"])
     run()
@@ -171,3 +172,61 @@ def test_stream(spark, tmp_path):
     profiles = landing.read_versions(spark, f"{out}/dataset_profiles")
     assert sorted(r["row_count"] for r in profiles.collect()) == [3, 4]
     assert landing.read_versions(spark, f"{out}/rejected_rows").count() == 3
+
+
+TABLES = ["ingestion_runs", "dataset_profiles", "field_profiles", "anomalies", "rejected_rows",
+          "audit_events"]
+
+
+def contents(spark, out):
+    tables = {t: landing.read_versions(spark, f"{out}/{t}") for t in TABLES}
+    tables |= {t: spark.read.parquet(f"{out}/{t}") for t in ("raw", "dataset_versions")}
+    return {t: sorted(map(repr, df.select(sorted(df.columns)).collect())) for t, df in tables.items()}
+
+
+def test_a_lost_or_repeated_batch_leaves_the_same(spark, tmp_path, monkeypatch):
+    inbox = tmp_path / "inbox" / "vendors"
+    inbox.mkdir(parents=True)
+    (inbox / "one.csv").write_bytes(FILES["ragged"])
+    (inbox / "none.csv").write_bytes(b"\n\n")
+    (inbox / "bad.xlsx").write_bytes(b"PK")
+    (inbox / "large.csv").write_bytes(b"a,b\n" * 100)
+    files = spark.read.format("binaryFile").load(str(inbox))
+
+    def batch(out):
+        stream.process_batch(files, out, "t", "p", max_bytes=300)
+
+    once, twice = str(tmp_path / "once"), str(tmp_path / "twice")
+    batch(once)
+    want = contents(spark, once)
+    status = {r["filename"]: r["status"] for r in landing.read_versions(
+        spark, f"{once}/ingestion_runs").collect()}
+    assert status == {
+        "one.csv": "completed", "none.csv": "completed", "bad.xlsx": "failed", "large.csv": "failed"}
+    assert len(want["dataset_profiles"]) == 2  # one of them without columns
+    batch(twice)
+    batch(twice)
+    assert contents(spark, twice) == want
+    for owner, step in ((landing, "land"), (stream, "write_profiled"), (landing, "replace_versions"),
+                        (stream.V, "register")):
+        lost, inner = str(tmp_path / f"lost-{step}"), getattr(owner, step)
+
+        def fail(*a, inner=inner, **k):
+            inner(*a, **k)
+            raise RuntimeError("executor lost")
+
+        monkeypatch.setattr(owner, step, fail)
+        with pytest.raises(RuntimeError):
+            batch(lost)
+        monkeypatch.setattr(owner, step, inner)
+        batch(lost)
+        assert contents(spark, lost) == want
+
+
+def test_faults_are_not_missing_tables(spark, tmp_path):
+    assert not landing._exists(spark, str(tmp_path / "nothing"))
+    (tmp_path / "t").mkdir()
+    assert not landing._exists(spark, str(tmp_path / "t"))
+    (tmp_path / "t" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        landing._exists(spark, str(tmp_path / "t"))

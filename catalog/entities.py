@@ -327,7 +327,7 @@ def _exact_and_existing(spark, sf):
     existing = table(spark, sf, "existing").withColumn(
         "evidence", F.array().cast("array<struct<type:string,detail:string,score:double>>")
     )
-    return matching.exact_matches(p, i), existing
+    return matching.exact_matches(p, i, existing.select(*matching.PAIR)), existing
 
 
 def pending_pairs(spark, sf):
@@ -578,39 +578,57 @@ texts as (select p.*, b.city, b.region, b.postal_code, b.country_code,
   from partners p left join best b on b.tenant_id = p.tenant_id
   and b.business_partner_id = p.id),
 grams as (select *, {_trigrams('primary_name')} as g,
-  case when addr is not null then {_trigrams('addr')} end as h from texts),
-near as (select a.tenant_id, a.project_id, a.id as business_partner_id,
+  case when addr is not null then {_trigrams('addr')} end as h,
+  min(id) over (partition by tenant_id, project_id, lower(primary_name)) as leader_id from texts),
+near as (select a.id = a.leader_id and (b.id = b.leader_id or
+  lower(a.primary_name) = lower(b.primary_name)) as led, a.tenant_id, a.project_id, a.id as business_partner_id,
   b.id as candidate_business_partner_id, {_similar('a.g', 'b.g')} as name_similarity,
   case when a.h is not null and b.h is not null then {_similar('a.h', 'b.h')} end
     as address_similarity
   from grams a join grams b on a.tenant_id = b.tenant_id and a.project_id = b.project_id
   and a.id < b.id where {_similar('a.g', 'b.g')} >= 0.5),
-fuzzy as (select {PAIR}, 'fuzzy' as match_method,
+fuzzy_led as (select led, {PAIR}, 'fuzzy' as match_method,
   floor(least(1.0, case when address_similarity is null then name_similarity * 0.85
     else 0.65 * name_similarity + 0.35 * address_similarity end) * 10000 + 0.5) / 10000
     as confidence,
   'name_similarity=' || {FOUR.format('name_similarity')} || coalesce(';address_similarity=' ||
-    {FOUR.format('address_similarity')}, '') as evidence from near)
+    {FOUR.format('address_similarity')}, '') as evidence from near),
+fuzzy_all as (select * exclude (led) from fuzzy_led),
+fuzzy as (select * exclude (led) from fuzzy_led where led)
 """
 
 
-def _exact_sql(partners_cte: str, identifiers_cte: str) -> str:
+NONE = "select '', '', '', '' where false"
+EXISTING = f"select {PAIR} from existing"
+
+
+def _exact_sql(partners_cte: str, identifiers_cte: str, asked: str = NONE) -> str:
+    """exact_all: all pairs that share an identifier; exact: leader and member, and pairs asked for."""
     key = "regexp_replace(upper(trim(identifier_value)), '[\\s\\-./]+', '', 'g')"
     return f""", keyed as (select i.tenant_id, project_id, business_partner_id, identifier_type,
   {key} as match_key from {identifiers_cte} i join {partners_cte} p
   on p.tenant_id = i.tenant_id and p.id = i.business_partner_id where {key} <> ''),
-exact as (select distinct a.tenant_id, a.project_id, a.business_partner_id,
+led as (select *, min(business_partner_id) over (partition by tenant_id, project_id,
+  identifier_type, match_key) as leader_id from keyed),
+shared as (select a.tenant_id, a.project_id, a.business_partner_id,
   b.business_partner_id as candidate_business_partner_id, 'exact' as match_method,
-  cast(1.0 as double) as confidence, 'identifier_exact=1.0000' as evidence
-  from keyed a join keyed b on a.tenant_id = b.tenant_id and a.project_id = b.project_id
+  cast(1.0 as double) as confidence, 'identifier_exact=1.0000' as evidence,
+  bool_or(a.business_partner_id = a.leader_id) as led
+  from led a join led b on a.tenant_id = b.tenant_id and a.project_id = b.project_id
   and a.identifier_type = b.identifier_type and a.match_key = b.match_key
-  and a.business_partner_id < b.business_partner_id)
+  and a.business_partner_id < b.business_partner_id group by all),
+exact_all as (select * exclude (led) from shared),
+exact as (select * exclude (led) from shared
+  where led or ({PAIR}) in ({asked}))
 """
 
 
 EXACT = ctes("partners", "identifiers", "existing", "answers", "rulings") + _exact_sql(
     "partners", "identifiers"
 )
+EXACT_ASKED = ctes("partners", "identifiers", "existing", "answers", "rulings") + _exact_sql(
+    "partners", "identifiers", EXISTING
+)
 EXACT_DOCS = ctes("doc_partners", "doc_identifiers") + _exact_sql(
     "doc_partners", "doc_identifiers"
 )
@@ -675,8 +693,13 @@ DIFF = ctes("before", "after") + """select tenant_id, case when b.id is null the
     or b.segment is distinct from a.segment"""
 
 RUN = FUZZY.replace("with partners", "with answers as (" + ctes("answers")[len("with answers as ("):]
-                    + ", partners", 1) + _exact_sql("partners", "identifiers") + OPINIONS + f""",
-found as (select {ROW} from exact union all select {ROW} from fuzzy anti join exact using ({PAIR})),
+                    + ", partners", 1) + _exact_sql(
+    "partners", "identifiers",
+    f"select {PAIR} from fuzzy union {EXISTING} union select {PAIR} from answers",
+) + OPINIONS + f""",
+asked as (select {PAIR} from fuzzy union {EXISTING} union select {PAIR} from answers),
+found as (select {ROW} from exact union all select {ROW} from fuzzy_all semi join asked using ({PAIR})
+  anti join exact using ({PAIR})),
 run as (select f.tenant_id, f.project_id, count(*) as candidates_found,
   count(*) filter (where e.decision is null or e.decision = 'needs_review') as new_or_refreshed,
   count(*) filter (where e.decision <> 'needs_review') as skipped_already_decided,
@@ -721,14 +744,14 @@ ORACLES = {
     "primary_address": ctes("addresses") + BEST_ADDRESS + "select tenant_id, "
     "business_partner_id, id as address_id, city, postal_code from best",
     "fuzzy_match": FUZZY + f"select {ROW} from fuzzy",
-    "match_overlay": FUZZY + _exact_sql("partners", "identifiers") + f"select {ROW} from exact "
-    f"union all select {ROW} from fuzzy anti join exact using ({PAIR})",
+    "match_overlay": FUZZY + _exact_sql("partners", "identifiers", f"select {PAIR} from fuzzy")
+    + f"select {ROW} from exact union all select {ROW} from fuzzy anti join exact using ({PAIR})",
     "ambiguous_pairs": FUZZY + f"select {ROW} from fuzzy where confidence >= 0.5 "
     "and confidence < 0.9",
-    "pending_pairs": EXACT + f"select {ROW} from exact where not exists (select 1 from existing e "
+    "pending_pairs": EXACT_ASKED + f"select {ROW} from exact where not exists (select 1 from existing e "
     "where e.business_partner_id = exact.business_partner_id and e.candidate_business_partner_id "
     "= exact.candidate_business_partner_id and decision <> 'needs_review')",
-    "match_refresh": EXACT + OPINIONS + f"""select {PAIR},
+    "match_refresh": EXACT_ASKED + OPINIONS + f"""select {PAIR},
   case when coalesce(e.decision, 'needs_review') = 'needs_review' and x.match_method is not null
     then x.match_method else e.match_method end as match_method,
   case when coalesce(e.decision, 'needs_review') = 'needs_review' and x.match_method is not null
@@ -739,7 +762,7 @@ ORACLES = {
   case when coalesce(e.decision, 'needs_review') = 'needs_review' and x.match_method is not null
     then o.ai_confidence end as ai_confidence
   from existing e full join exact x using ({PAIR}) left join opinions o using ({PAIR})""",
-    "match_summary": EXACT + OPINIONS + f"""select tenant_id, project_id,
+    "match_summary": EXACT_ASKED + OPINIONS + f"""select tenant_id, project_id,
   count(*) as candidates_found,
   count(*) filter (where e.decision is null or e.decision = 'needs_review') as new_or_refreshed,
   count(*) filter (where e.decision <> 'needs_review') as skipped_already_decided,
@@ -751,9 +774,9 @@ ORACLES = {
   decision from existing e join (select id, primary_name from partners) p
   on p.id = e.business_partner_id join (select id, primary_name from partners) c
   on c.id = e.candidate_business_partner_id where decision = 'keep_separate'""",
-    "score_pairs": FUZZY + _exact_sql("partners", "identifiers") + f"""select {ROW} from exact
-  semi join existing using ({PAIR}) union all select {ROW} from fuzzy
-  semi join existing using ({PAIR}) anti join exact using ({PAIR})""",
+    "score_pairs": FUZZY + _exact_sql("partners", "identifiers") + f"""select {ROW} from exact_all
+  semi join existing using ({PAIR}) union all select {ROW} from fuzzy_all
+  semi join existing using ({PAIR}) anti join exact_all using ({PAIR})""",
     "pair_queue": FUZZY + f"""select f.tenant_id, f.project_id, f.business_partner_id,
   f.candidate_business_partner_id, f.confidence, a.primary_name as primary_name_a,
   a.city as city_a, a.postal_code as postal_code_a, b.primary_name as primary_name_b,

@@ -5,11 +5,13 @@ identifiers  (tenant_id, business_partner_id, identifier_type, identifier_value,
 addresses    (tenant_id, business_partner_id, line1, city, postal_code, country_code, is_primary,
               created_at, id, ...)
 
-Groups and pairs. Partners that share an identifier, or a name, form a group. A group of up to MESH
-partners is listed pair by pair. A larger one would have quadratically many pairs, so its members
-are linked to the member with the smallest id: one row per member, none left out. `exact_groups` and
-`name_groups` hold every membership, and `score_pairs` gives method, evidence and confidence of any
-pair that is asked for, so nothing is lost by the shorter form.
+Groups and pairs. Partners that share an identifier, or a name, form a group. A group is listed by its
+members and their leader, the member with the smallest id: one row for each member but the leader,
+whatever the size of the group. Names that are similar are listed once, as the pair of their
+leaders. These lists are complete and grow with the partners, where all pairs would grow with the
+square of a group. What a group or two similar names imply for any two members is a matter of asking:
+`score_pairs` gives method, evidence and confidence of given pairs, and the pairs that already have a
+row in the match table are asked for in every run.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from fairledger.operators.similarity import similar_pairs
 from fairledger.plans.staging import stage
 from fairledger.scope import PROJECT
 
-MESH = 100
 PAIR = [*PROJECT, "business_partner_id", "candidate_business_partner_id"]
 
 
@@ -71,22 +72,16 @@ def exact_groups(partners: DataFrame, identifiers: DataFrame) -> DataFrame:
     )
 
 
-def _linked(groups: DataFrame, key: list[str], id_col: str, carry: list[str], mesh: int):
-    """Pairs (id_a < id_b) of each group: all of a small one, leader to member of a large one.
+def _linked(groups: DataFrame, key: list[str], id_col: str, carry: list[str]) -> DataFrame:
+    """Pairs (id_a, id_b) of the leader of each group and its other members.
 
-    `groups` has group_size and leader_<c> columns for the id and every carried column.
+    `groups` has leader_<c> columns for the id and every carried column.
     """
-    small = groups.where(F.col("group_size") <= mesh)
-    a = small.select(*key, F.col(id_col).alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in carry])
-    b = small.select(*key, F.col(id_col).alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in carry])
-    pairs = a.join(b, key).where(F.col("id_a") < F.col("id_b"))
-    star = groups.where((F.col("group_size") > mesh) & (F.col(id_col) != F.col("leader_id")))
-    links = star.select(
+    return groups.where(F.col(id_col) != F.col("leader_id")).select(
         *key, F.col("leader_id").alias("id_a"),
         *[F.col(f"leader_{c}").alias(f"{c}_a") for c in carry],
         F.col(id_col).alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in carry],
     )
-    return pairs.unionByName(links)
 
 
 def _signal(kind: str, detail: Column, score: Column) -> Column:
@@ -120,11 +115,10 @@ def _fuzzy_evidence(name: Column, address: Column) -> Column:
     ))
 
 
-def exact_matches(partners: DataFrame, identifiers: DataFrame, mesh: int = MESH) -> DataFrame:
-    """Pairs with a shared identifier; of several shared ones the smallest (type, key) is cited."""
-    groups = exact_groups(partners, identifiers).withColumnRenamed("identifier_value", "value")
+def _exact_links(groups: DataFrame) -> DataFrame:
     key = [*PROJECT, "identifier_type", "match_key"]
-    linked = _linked(groups, key, "business_partner_id", ["value"], mesh)
+    linked = _linked(
+        groups.withColumnRenamed("identifier_value", "value"), key, "business_partner_id", ["value"])
     best = F.min(F.struct(
         "identifier_type", "match_key", F.col("value_a").alias("identifier_value")
     )).alias("best")
@@ -141,6 +135,19 @@ def exact_matches(partners: DataFrame, identifiers: DataFrame, mesh: int = MESH)
     )
 
 
+def exact_matches(
+    partners: DataFrame, identifiers: DataFrame, asked: DataFrame | None = None
+) -> DataFrame:
+    """Leader and member of every group with a shared identifier, and those pairs asked for that
+    share one; of several shared identifiers the smallest (type, key) is cited."""
+    groups = stage(exact_groups(partners, identifiers))
+    links = _exact_links(groups)
+    if asked is None:
+        return links
+    return links.unionByName(
+        shared_identifiers(asked, groups).join(links.select(*PAIR), PAIR, "left_anti"))
+
+
 def _named(partners: DataFrame, addresses: DataFrame) -> DataFrame:
     """Partners with their comparison name and address text, each as trigram codes."""
     first = primary_addresses(addresses).select(
@@ -180,35 +187,26 @@ def _address_similarity(a: Column, b: Column) -> Column:
 
 def fuzzy_scores(
     partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
-    mesh: int = MESH,
 ) -> DataFrame:
-    """(PAIR, name_similarity, address_similarity) of partners with similar names.
-
-    Equal names are collapsed before the similarity join. Afterwards a small group stands for itself
-    and a large one for its leader, to which `_linked` ties the members.
-    """
+    """(PAIR, name_similarity, address_similarity) of leaders of similar names, and of the leader
+    and each member of a name."""
     groups = stage(name_groups(partners, addresses))
     has_items = F.regexp_count("name", F.lit(r"[\p{L}\p{N}]")) > 0
     same = _linked(
-        groups.where(has_items), [*PROJECT, "name"], "id", ["address"], mesh
+        groups.where(has_items), [*PROJECT, "name"], "id", ["address"]
     ).withColumn("name_similarity", F.lit(1.0)).drop("name")
 
-    speakers = groups.where(
-        (F.col("group_size") <= mesh) | (F.col("id") == F.col("leader_id"))
-    )
-    pairs = similar_names(groups, threshold)
+    leaders = groups.where(F.col("id") == F.col("leader_id"))
 
     def side(mark: str) -> DataFrame:
-        return speakers.select(
-            *PROJECT, F.col("leader_id").alias(mark), F.col("id").alias(f"id_{mark}"),
-            F.col("address").alias(f"address_{mark}"),
-        )
+        return leaders.select(
+            *PROJECT, F.col("id").alias(f"id_{mark}"), F.col("address").alias(f"address_{mark}"))
 
     across = (
-        pairs.join(side("a"), [*PROJECT, "a"])
-        .join(side("b"), [*PROJECT, "b"])
-        .withColumnRenamed("similarity", "name_similarity")
-        .drop("a", "b")
+        similar_names(groups, threshold)
+        .withColumnsRenamed({"a": "id_a", "b": "id_b", "similarity": "name_similarity"})
+        .join(side("a"), [*PROJECT, "id_a"])
+        .join(side("b"), [*PROJECT, "id_b"])
     )
     swap = F.col("id_a") > F.col("id_b")
     return same.unionByName(across).select(
@@ -234,9 +232,8 @@ def _as_fuzzy(scores: DataFrame) -> DataFrame:
 
 def fuzzy_matches(
     partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
-    mesh: int = MESH,
 ) -> DataFrame:
-    return _as_fuzzy(fuzzy_scores(partners, addresses, threshold, mesh))
+    return _as_fuzzy(fuzzy_scores(partners, addresses, threshold))
 
 
 def overlay(exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
@@ -271,14 +268,19 @@ def shared_identifiers(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def all_matches(
     partners: DataFrame, identifiers: DataFrame, addresses: DataFrame,
-    threshold: float = K.NAME_SIMILARITY, mesh: int = MESH,
+    threshold: float = K.NAME_SIMILARITY, asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact and fuzzy candidates of all projects; exact wins, also inside large groups."""
-    fuzzy = stage(fuzzy_matches(partners, addresses, threshold, mesh))
-    exact = exact_matches(partners, identifiers, mesh)
-    large = exact_groups(partners, identifiers).where(F.col("group_size") > mesh)
-    hidden = shared_identifiers(fuzzy, large).join(exact.select(*PAIR), PAIR, "left_anti")
-    return overlay(exact.unionByName(hidden), fuzzy)
+    """Exact and fuzzy candidates of all projects, and those among the pairs asked for.
+
+    A pair that was found by its name and shares an identifier is an exact one, as in `overlay`.
+    """
+    fuzzy = stage(fuzzy_matches(partners, addresses, threshold))
+    found = overlay(exact_matches(partners, identifiers, fuzzy.select(*PAIR)), fuzzy)
+    if asked is None:
+        return found
+    found = stage(found)
+    more = asked.select(*PAIR).distinct().join(found.select(*PAIR), PAIR, "left_anti")
+    return found.unionByName(score_pairs(more, partners, identifiers, addresses, threshold))
 
 
 def score_pairs(

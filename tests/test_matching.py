@@ -95,18 +95,49 @@ def crowd(spark):
             spark.createDataFrame(a, ADDRESS))
 
 
-def test_large_groups_are_whole(crowd):
-    full = pairs(matching.all_matches(*crowd))
-    short = pairs(matching.all_matches(*crowd, mesh=5))
-    assert len(short) < len(full)
-    for k, r in short.items():  # what the short form lists is what the full form says
+def every_pair(partners):
+    """All pairs of partners, in the form in which pairs are asked for."""
+    a = partners.select("tenant_id", "project_id", F.col("id").alias("business_partner_id"))
+    b = partners.select(
+        "tenant_id", "project_id", F.col("id").alias("candidate_business_partner_id"))
+    return a.join(b, ["tenant_id", "project_id"]).where(
+        "business_partner_id < candidate_business_partner_id")
+
+
+def test_lists_connect_what_all_pairs_connect(crowd):
+    listed = pairs(matching.all_matches(*crowd))
+    full = pairs(matching.score_pairs(every_pair(crowd[0]), *crowd))
+    assert len(listed) < 3 * 90 < len(full)
+    for k, r in listed.items():
         assert (r["match_method"], r["confidence"]) == (
             full[k]["match_method"], full[k]["confidence"])
     groups = matching.exact_groups(crowd[0], crowd[1])
     hot = groups.where("group_size > 5")
     assert hot.count() == 30 and hot.select("leader_id").distinct().collect() == [("000",)]
-    # Every member is linked, and the links connect exactly what the full list connects.
-    assert components(short) == components(full)
+    assert components(listed) == components(full)
+    asked = every_pair(crowd[0]).where("business_partner_id < '030'")
+    more = pairs(matching.all_matches(*crowd, asked=asked))
+    assert set(more) == set(listed) | {k for k in full if k[0] < "030"}
+
+
+@pytest.mark.parametrize("size", [2, 100, 101, 3000])
+def test_one_rule_for_groups_of_any_size(spark, size):
+    ids = [f"{n:05}" for n in range(size)]
+    partners = spark.createDataFrame([("t", "p", i, "Acme Corp") for i in ids] + [
+        ("t", "p", "x", "Acme Corporation"), ("t", "p", "z", "Other")], PARTNER)
+    identifiers = spark.createDataFrame([("t", i, "vat", "1-2") for i in [*ids[1:], "z"]], IDENT)
+    addresses = spark.createDataFrame([], ADDRESS)
+    got = pairs(matching.all_matches(partners, identifiers, addresses))
+    exact = {(ids[1], i) for i in [*ids[2:], "z"]}
+    fuzzy = {(ids[0], i) for i in ids[1:]} | {(ids[0], "x")}
+    assert {k for k, r in got.items() if r["match_method"] == "exact"} == exact
+    assert {k for k, r in got.items() if r["match_method"] == "fuzzy"} == fuzzy - exact
+    last = spark.createDataFrame([("t", "p", ids[-1], "x"), ("t", "p", ids[-1], "z")],
+                                 "tenant_id string, project_id string, business_partner_id string, "
+                                 "candidate_business_partner_id string")
+    asked = pairs(matching.score_pairs(last, partners, identifiers, addresses))
+    assert {k: r["match_method"] for k, r in asked.items()} == {
+        (ids[-1], "x"): "fuzzy", (ids[-1], "z"): "exact"}
 
 
 def components(edges):
@@ -126,16 +157,6 @@ def components(edges):
     return sorted(map(sorted, out.values()))
 
 
-def test_any_pair_can_be_scored(spark, crowd):
-    full = matching.all_matches(*crowd)
-    asked = full.select(*matching.PAIR)
-    scored = pairs(matching.score_pairs(asked, *crowd))
-    want = pairs(full)
-    assert scored.keys() == want.keys()
-    assert all(scored[k]["confidence"] == want[k]["confidence"] for k in want)
-    assert all(scored[k]["match_method"] == want[k]["match_method"] for k in want)
-
-
 def test_primary_address(spark):
     day = dt.date
     df = spark.createDataFrame([
@@ -192,6 +213,9 @@ def test_decisions(spark):
     got = pairs(out.matches)
     assert (got["a", "b"]["decision"], got["a", "b"]["decided_by"]) == ("merge", "m")
     assert got["c", "d"]["decision"] == "needs_review"
+    old = {(r["new_value"], r["old_value"]) for r in out.audit.collect() if r["old_value"]}
+    assert old == {('{"decision":"reject"}', '{"decision":"needs_review"}'),
+                   ('{"decision":"merge"}', '{"decision":"reject"}')}
     actions = [r["action"] for r in out.audit.collect()]
     assert sorted(actions) == ["entity_match.decision_recorded"] * 2 + [
         "entity_match.merge_denied"]
@@ -225,6 +249,17 @@ def test_scorer_and_validation(golden):
     assert {r["tenant_id"]: r["ai_recommendation"] for r in answers} == {"t1": "merge", "t2": None}
 
 
+def test_one_answer_per_pair(spark):
+    answers = spark.createDataFrame([
+        ("t", "p", "a", "b", "merge", 0.9, "late", "m", 2), ("t", "p", "a", "b", "uncertain", 0.9, "first", "m", 1),
+        ("t", "p", "a", "b", "what", 0.9, "no form", "m", 3), ("t", "p", "c", "d", "what", 0.9, "x", "m", 1),
+    ], "tenant_id string, project_id string, business_partner_id string, candidate_business_partner_id "
+       "string, recommendation string, confidence double, reasoning string, model_version string, at int")
+    timed = answers.withColumn("answered_at", F.timestamp_seconds("at"))
+    got = {r["business_partner_id"]: r["ai_recommendation"] for r in review.pair_opinions(timed).collect()}
+    assert got == {"a": "merge", "c": None} and review.pair_opinions(answers).count() == 2
+
+
 SUPPLIER = ("tenant_id string, id string, business_partner_id string, supplier_number string, "
             "source_system string, created_at int")
 

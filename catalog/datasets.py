@@ -168,7 +168,7 @@ columns as ({_columns_sql()}),
 cells as (select {VERSION}, row_number, unnest(fields) as raw,
   generate_subscripts(fields, 1) - 1 as col_idx from rows),
 trimmed as (select *, trim(raw, {BLANKS}) as v from cells),
-marked as (select *, {CLASS} as class, {SHAPE} as shape, {NUMBER} as x from trimmed),
+marked as materialized (select *, {CLASS} as class, {SHAPE} as shape, {NUMBER} as x from trimmed),
 votes as (select {VERSION}, col_idx, count(*) as total,
   count(*) filter (where v <> '') as filled,
   count(*) filter (where v <> '' and class = 'integer') as n_integer,
@@ -177,12 +177,12 @@ votes as (select {VERSION}, col_idx, count(*) as total,
   count(*) filter (where v <> '' and class = 'date') as n_date,
   count(*) filter (where v <> '' and class = 'string') as n_string
   from marked group by all),
-types as (select *, case when n_integer > filled / 2 then 'integer'
+types as materialized (select *, case when n_integer > filled / 2 then 'integer'
   when n_decimal > filled / 2 then 'decimal' when n_boolean > filled / 2 then 'boolean'
   when n_date > filled / 2 then 'date' else 'string' end as inferred_type from votes),
 shapes as (select {VERSION}, col_idx, shape, count(*) as shape_n from marked
   where v <> '' group by all),
-top_shape as (select {VERSION}, col_idx, max(shape_n) as shape_n,
+top_shape as materialized (select {VERSION}, col_idx, max(shape_n) as shape_n,
   max_by(shape, (shape_n, shape)) as dominant from shapes group by all),
 fields as (select {VERSION}, col_idx, column_name, inferred_type, total as row_count,
   total - filled as null_count,

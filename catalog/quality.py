@@ -165,13 +165,13 @@ V = D.VERSION
 KEY = "col_idx"
 CITED = """select dataset_version_id, row_number, col_idx, column_name,
  '{kind}' as anomaly_type, {value} as value from cited where {rule}"""
-CITED_CTE = D.CTES + f""", numbers as (select {V}, col_idx, count(x) as n,
+CITED_CTE = D.CTES + f""", numbers as materialized (select {V}, col_idx, count(x) as n,
   quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3
   from marked join types using ({V}, col_idx)
   where inferred_type in ('integer', 'decimal') and x is not null group by all),
-fences as (select *, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence
+fences as materialized (select *, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence
   from numbers where n >= 4 and q3 > q1),
-dominance as (select {V}, col_idx, dominant, shape_n / filled as share
+dominance as materialized (select {V}, col_idx, dominant, shape_n / filled as share
   from top_shape join types using ({V}, col_idx)
   where filled >= 4 and shape_n / filled >= 0.6 and shape_n < filled),
 cited as (select m.*, c.column_name, t.inferred_type, t.filled / t.total as completeness,
@@ -198,6 +198,15 @@ def _cited(check: str) -> str:
     return CITED_CTE + CITED.format(kind=kind, value=value, rule=rule)
 
 
+def _against(table: str, check: str) -> str:
+    """The cells of only those columns that have a row in `table`."""
+    kind, value, rule = RULES[check]
+    return CITED_CTE + (
+        f"select dataset_version_id, row_number, col_idx, column_name, '{kind}' as anomaly_type, "
+        f"{value} as value from marked join {table} using ({V}, col_idx) "
+        f"join columns using ({V}, col_idx) where {rule}")
+
+
 UNION = " union all ".join(
     f"select {V}, row_number, column_name, '{kind}' as anomaly_type, '{check}' as \"check\", "
     f"{value} as value from cited where {rule}"
@@ -278,8 +287,8 @@ ORACLES = {
     "null_anomaly": _cited("null"),
     "sentinel_anomaly": _cited("sentinel"),
     "malformed_value": _cited("malformed"),
-    "iqr_outlier": _cited("outlier"),
-    "shape_break": _cited("shape"),
+    "iqr_outlier": _against("fences", "outlier"),
+    "shape_break": _against("dominance", "shape"),
     "duplicate_row": CITED_CTE + f"select {V}, row_number, first_row from dups",
     "anomaly_union": CITED_CTE + "select dataset_version_id, row_number, column_name, "
     f"anomaly_type, \"check\" from ({UNION})",

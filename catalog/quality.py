@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import datasets as D
-from fairledger.operators import anomalies, profile, semantics
+from fairledger.operators import anomalies, profile, review, semantics
 from fairledger.operators.cells import cells, value_counts
 from fairledger.plans import jobs
 from fairledger.plans.staging import stage
@@ -83,6 +83,23 @@ def dominant_shape(spark, sf):
     return anomalies.dominant_shapes(facts).select(*COLUMN, "dominant_shape", *_rounded(["share"]))
 
 
+# Two rounds of answers about columns; some are unknown labels, and one round is later.
+ANSWERS = """select {v}, cast(col_idx as int) as col_idx, case col_idx % 4 when 0 then 'email'
+  when 1 then 'unknown' when 2 then 'nonsense' else 'identifier' end as semantic_type,
+  0.8D as confidence, 'first' as reasoning, 'm1' as model_version,
+  timestamp '2024-01-01 00:00:00' as answered_at from columns
+  union all select {v}, cast(col_idx as int), 'percentage', 0.6D, 'second', 'm2',
+  timestamp '2024-01-02 00:00:00' from columns where col_idx % 3 = 0"""
+
+
+def column_opinions(spark, sf):
+    """What second opinions say of columns, one for each."""
+    D.columns(spark).createOrReplaceTempView("columns")
+    answers = spark.sql(ANSWERS.format(v=", ".join(VERSION)))
+    return review.column_opinions(answers).select(
+        *COLUMN, "ai_semantic_type", "ai_confidence", "ai_model_version")
+
+
 def duplicate_row(spark, sf):
     return anomalies.duplicate_rows(D.rows(spark, sf))
 
@@ -154,6 +171,7 @@ QUERIES = {
     "shape_break": _anomaly("shape"),
     "duplicate_row": duplicate_row,
     "anomaly_union": anomaly_union,
+    "column_opinions": column_opinions,
     "anomaly_filter": anomaly_filter,
     "anomaly_count": anomaly_count,
     "semantic_type": semantic_type,
@@ -292,6 +310,13 @@ ORACLES = {
     "duplicate_row": CITED_CTE + f"select {V}, row_number, first_row from dups",
     "anomaly_union": CITED_CTE + "select dataset_version_id, row_number, column_name, "
     f"anomaly_type, \"check\" from ({UNION})",
+    "column_opinions": D.CTES + f"""select {V}, cast(col_idx as int) as col_idx,
+  case when col_idx % 3 = 0 then 'percentage' when col_idx % 4 = 0 then 'email'
+    when col_idx % 4 = 3 then 'identifier' end as ai_semantic_type,
+  case when col_idx % 3 = 0 then 0.6::double when col_idx % 4 in (0, 3) then 0.8::double end
+    as ai_confidence,
+  case when col_idx % 3 = 0 then 'm2' when col_idx % 4 in (0, 3) then 'm1' end as ai_model_version
+  from columns""",
     "anomaly_filter": CITED_CTE + "select dataset_version_id, row_number, column_name, value "
     f"from ({UNION}) where anomaly_type = 'suspicious_pattern'",
     "anomaly_count": CITED_CTE + f"select {V}, count(*) as anomaly_count from ({UNION}) "

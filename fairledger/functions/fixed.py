@@ -22,11 +22,8 @@ STRICT_INTEGER = r"\A-?[1-9][0-9]*\z|\A0\z"
 STRICT_DECIMAL = r"\A-?[0-9]+\.[0-9]{2}\z"
 STRICT_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 STRICT_BOOLEAN = ["true", "false"]
-# Finite numbers: anything of 1e300 and more is left out, because it may overflow.
-NUMBER = (
-    r"\A[+-]?(([0-9]{1,200}\.?[0-9]*|\.[0-9]+)([eE](-[0-9]+|\+?[0-9]{1,2}))?"
-    r"|([0-9]{1,9}\.?[0-9]*|\.[0-9]+)[eE]\+?[12][0-9]{2})\z"
-)
+NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+LARGEST_NUMBER = 1.7976931348623157e308
 
 SENTINELS = ["n/a", "na", "null", "none", "unknown", "tbd", "-", "--", "???", "#n/a"]
 NULL_COMPLETENESS = 0.8

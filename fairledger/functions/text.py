@@ -89,8 +89,10 @@ def to_number(v: Column) -> Column:
 
     The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`.
     """
+    number = v.try_cast("double")
     return F.when(
-        F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER), v.try_cast("double")
+        F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER)
+        & F.abs(number).between(0.0, K.LARGEST_NUMBER), number
     )
 
 

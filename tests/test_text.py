@@ -38,6 +38,7 @@ def test_shape_merges_digits_and_letters(spark):
 @pytest.mark.parametrize("value,expected", [
     ("1e5", 100000.0), (".5", 0.5), ("5.", 5.0), ("+3", 3.0), ("1d", None), ("NaN", None),
     ("Infinity", None), ("1e999", None), ("1e-400", 0.0), ("12abc", None), ("1e250", 1e250),
+    ("1.7e308", 1.7e308), ("9" * 250, 1e250), ("-1e308", -1e308), ("1e309", None),
 ])
 def test_numbers(spark, value, expected):
     assert one(spark, value, T.to_number) == expected

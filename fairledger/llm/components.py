@@ -11,33 +11,28 @@ from fairledger.plans.staging import stage
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is its smallest node.
 
-    Every node hands its larger neighbours, then its smaller ones, to the smallest it knows, until
-    each node hangs from the smallest of its component. That takes about log(length of the longest
-    path) rounds. Smallest neighbours are aggregations, written before they are joined back, so a
-    node with very many links is split.
+    Every node has a label in its component, at first the smallest of its neighbours and itself. In
+    a round each node sees the labels of its neighbours' labels; the smallest becomes its own, and
+    that of the node which its old label names. This takes about log(length of the longest path)
+    rounds. What is joined to all links of a node is a written table, so a hot node is split.
     """
-    def smallest(pairs):
-        return stage(pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-
-    links = links.select("a", "b").where("a != b")
-    links = stage(links.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    pairs = links.select("a", "b").where("a != b")
+    edges = stage(pairs.unionByName(
+        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stage(edges.groupBy(F.col("a").alias("node")).agg(
+        F.least("node", F.min("b")).alias("component")))
     while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(smallest(both), "a").where("b > a").select(
-            F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.where("a != b").distinct())
-        low = smallest(large)
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b")))
-        links = stage(small.where("a > b").distinct())
-        now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if now == seen:
-            break
-        seen = now
-    return stage(
-        links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        .unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
-        .distinct()
-    )
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        seen = stage(labels.join(up, "component"))
+        around = edges.join(seen.select(F.col("node").alias("b"), "up"), "b").groupBy(
+            F.col("a").alias("node")).agg(F.min("up").alias("low"))
+        moved = seen.join(around, "node").select(F.explode(F.array(
+            F.struct("node", F.least("low", "up").alias("to"), F.col("component").alias("was")),
+            F.struct(F.col("component").alias("node"), F.col("low").alias("to"),
+                     F.lit(None).cast("long").alias("was")),
+        )).alias("m")).groupBy("m.node").agg(
+            F.min("m.to").alias("component"), F.max("m.was").alias("was"))
+        found = stage(moved.withColumn("component", F.least("component", "was")))
+        labels = found.select("node", "component")
+        if found.where("component < was").isEmpty():
+            return labels

@@ -18,10 +18,11 @@ collision can only add a candidate: every pair is verified on its sets.
 all sets of a signature but the smallest are set aside already, each under a key of its own, so no
 signature has more rows in one task than there are input partitions. Only shared ones are kept.
 
-**Links.** Sets are first compared with one other set of their buckets in several rounds, and the
-components of the links found are formed; a large group of near copies so falls together after
-about one comparison per member. Then all pairs of sets that share a bucket but not a component
-are verified. No link between components is lost, and pairs within a component are not needed.
+**Links.** Sets that share signatures, directly or through others, are a family. In a family of a few
+sets all pairs that share a signature are verified. In a large one, such as thousands of copies with
+a few changes each, most pairs share signatures and only few are similar. There sets are compared by
+how they differ from what most of the family have in common, see `_within`: one comparison with the
+set nearest to that, and a join on the rarest differences. No link that connects sets is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +43,8 @@ from fairledger.plans.staging import stage
 GROWTH = 1.6
 #: Signatures of an input partition that are grouped at once.
 BUFFER = 4_000_000
-ROUNDS = 4
-#: Pairs for each shared set up to which all are verified without another round.
-FEW = 4
+#: Sets of a family up to which all pairs that share a signature are verified.
+SMALL = 64
 
 
 def _bands(num: int, den: int, upto: int) -> list[int]:
@@ -213,18 +214,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members with the component of their set, buckets of one component left out."""
-    if links is not None:
-        members = members.drop("part").join(
-            components(links).select(F.col("node").alias("sid"), F.col("component").alias("part")),
-            "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    members = stage(members)
-    parts = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"))
-    mixed = stage(parts.where("p != q").select("key"))
-    return stage(members.join(mixed, "key"))
-
-
 def _similar_size(num: int, den: int):
     return (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
 
@@ -242,7 +231,7 @@ def links(docs: DataFrame, width: int, num: int, den: int, sized: DataFrame) ->
         found.withColumn("_rows", F.count(F.lit(1)).over(same))
         .withColumn("_look", F.max("look").over(same))
         .where("_look and (many or _rows > 1)")
-        .select("key", "sid", "n", F.col("sid").alias("part"))
+        .select("sid", "key", "n")
     )
     needed = stage(members.select("sid").distinct())
     first = sized.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -250,42 +239,120 @@ def links(docs: DataFrame, width: int, num: int, den: int, sized: DataFrame) ->
     sets = stage(in_arrow(
         bodies, "sid long, elements array<long>", _sets(width)).dropDuplicates(["sid"]))
 
-    tried = done = None
-    mixed = _labelled(members, None)
-    for r in range(ROUNDS):
-        if r:
-            most = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(
-                F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0)), ).first()[0]
-            if most <= FEW * mixed.select("sid").distinct().count():
-                break
-        order = F.xxhash64("part", F.lit(r))
-        centre = stage(mixed.groupBy("key").agg(F.min(
-            F.struct(order.alias("o"), "sid", "n", "part")).alias("c")))
-        pairs = mixed.join(centre, "key").where("part != c.part").withColumn("m", F.col("c.n")).where(
-            _similar_size(num, den)).groupBy("sid").agg(F.min("c").alias("c")).select(
-            F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        if pairs.isEmpty():
-            break
-        new = _verified(pairs, sets, num, den)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        done = new if done is None else done.unionByName(new)
-        mixed = _labelled(members, done)
-
-    parts = mixed.select("key", "part").distinct()
-    other = parts.select("key", F.col("part").alias("_part"))
-    across = stage(parts.join(other, "key").where("part < _part"))
-    left = mixed.select("key", "part", F.col("sid").alias("a"), "n")
-    right = mixed.select("key", F.col("part").alias("_part"), F.col("sid").alias("b"), F.col("n").alias("m"))
-    pairs = across.join(left, ["key", "part"]).join(right, ["key", "_part"]).where(
-        _similar_size(num, den)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    new = _verified(stage(pairs), sets, num, den)
-    return new if done is None else stage(done.unionByName(new))
+    leader = stage(members.groupBy("key").agg(F.min("sid").alias("b")))
+    families = stage(components(members.join(leader, "key").select(
+        F.col("sid").alias("a"), "b")).select(F.col("node").alias("sid"), F.col("component").alias("family")))
+    sizes = stage(families.groupBy("family").agg(F.count(F.lit(1)).alias("sets")))
+
+    small = stage(members.join(families.join(sizes.where(F.col("sets") <= SMALL), "family").select(
+        "sid"), "sid"))
+    left, right = small.toDF("a", "key", "n"), small.toDF("b", "key", "m")
+    pairs = left.join(right, "key").where("a < b").where(_similar_size(num, den)).select(
+        "a", "b").distinct()
+    large = sizes.where(F.col("sets") > SMALL)
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_within(sets.join(families, "sid").join(large, "family"), num, den))
+    return _verified(stage(pairs), sets, num, den)
+
+
+def _by_element(rows: DataFrame, keep, every: bool) -> DataFrame:
+    """(family, e, sid, c): the elements, with their numbers of sets, that `keep` wants.
+
+    rows: family, sid, aux, items. Elements of an input batch travel as one array for each partition
+    by element, so what is not wanted never becomes a row. `keep` gets the number of sets of each
+    element and the sum of their aux. `every`: all rows of an element, else one.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["family", "sid", "aux", "e"]
+
+    def deal(batch):
+        items = batch["items"]
+        size = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+        values = [np.repeat(batch[c].to_numpy(zero_copy_only=False), size) for c in names[:3]]
+        values.append(items.flatten().to_numpy(zero_copy_only=False))
+        part = (mix(values[3].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32))] + [
+                pa.array([v[order[ends[p] : ends[p + 1]]].tobytes() for p in some], pa.binary())
+                for v in values],
+            names=["part", *names])
+
+    def tally(table: pa.Table) -> pa.Table:
+        family, sid, aux, e = (
+            np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in names)
+        order = np.lexsort((sid, e, family))
+        family, sid, aux, e = family[order], sid[order], aux[order], e[order]
+        start = np.flatnonzero(
+            np.concatenate([[True], (family[1:] != family[:-1]) | (e[1:] != e[:-1])]))
+        count = np.diff(np.append(start, len(e)))
+        wanted = keep(count, np.add.reduceat(aux, start))
+        rows = np.flatnonzero(np.repeat(wanted, count)) if every else start[wanted]
+        return pa.table({
+            "family": family[rows], "e": e[rows], "sid": sid[rows],
+            "c": np.repeat(count, count)[rows] if every else count[wanted]})
+
+    dealt = in_arrow(rows.select("family", "sid", "aux", "items"),
+                     "part int, family binary, sid binary, aux binary, e binary", deal)
+    return dealt.groupBy("part").applyInArrow(tally, "family long, e long, sid long, c long")
+
+
+def _within(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) in large families that may be similar; with the similar ones among them, all
+    similar sets of a family are connected. `sets` has sid, elements, family, sets.
+
+    Sets are described by how they differ from a reference r, the elements that most sets of the
+    family have: d(x) = x Δ r, and x Δ y = d(x) Δ d(y). With E(x) = |d(x)| (den + num) -
+    (den - num) |x|, x and y are similar if and only if E(x) + E(y) <= 2 (den + num) |d(x) ∩ d(y)|.
+    Let c have the smallest E. Similar sets without a common difference have E(x) + E(y) <= 0, so
+    E(x) + E(c) <= 0 and both are similar to c: those links need no other pair. All other similar
+    sets have a common difference, and the rarest one stands in d(x) at a place p that leaves
+    |d(x)| - p elements, so that E(x) + E(y) <= 2 (den + num) min(|d(x)| - p, |d(y)| - q).
+    """
+    both, apart = den + num, den - num
+    each = stage(sets.withColumn("n", F.size("elements")))
+    common = _by_element(
+        each.select("family", "sid", F.col("sets").alias("aux"), F.col("elements").alias("items")),
+        lambda c, aux: 2 * c > aux // c, False)
+    reference = common.groupBy("family").agg(F.collect_list("e").alias("r"))  # twice a mean set at most
+    reference = stage(sets.select("family").distinct().join(reference, "family", "left").select(
+        "family", F.coalesce("r", F.array().cast("array<long>")).alias("r")))
+    apart_from = F.concat(F.array_except("elements", "r"), F.array_except("r", "elements"))
+    diffs = stage(each.join(reference, "family").select(
+        "family", "sid", "n", F.size("r").alias("r"), apart_from.alias("d")
+    ).withColumn("k", F.size("d")).withColumn("over", F.col("k") * both - F.col("n") * apart))
+    nearest = stage(diffs.groupBy("family").agg(F.min(F.struct("over", "sid")).alias("c")))
+    diffs = diffs.join(nearest, "family").withColumn("linked", F.col("over") + F.col("c.over") <= 0)
+
+    star = diffs.where("linked and sid != c.sid").select(
+        F.col("sid").alias("a"), F.col("c.sid").alias("b"))
+
+    # the smallest E of a set similar to x, by the sizes it may have
+    size = F.greatest(F.ceil(F.col("n") * num / den), F.least(F.floor(F.col("n") * den / num), "r"))
+    least = F.greatest("c.over", F.abs(size - F.col("r")) * both - size * apart)
+    facts = stage(diffs.select("sid", "n", "over", "linked", least.alias("least")))
+    often = _by_element(
+        diffs.select("family", "sid", F.col("linked").cast("long").alias("aux"),
+                     F.col("d").alias("items")),
+        lambda c, aux: (c > 1) & (aux < c), True)
+    # an element of no other set takes a place before all of these, and has no part in it
+    own = Window.partitionBy("sid")
+    placed = stage(
+        often.withColumn("left", F.count(F.lit(1)).over(own) + 1 - F.row_number().over(
+            own.orderBy("c", "e")))
+        .join(facts, "sid")
+        .where(2 * both * F.col("left") >= F.col("over") + F.col("least"))
+        .select("family", "e", "sid", "n", "over", "linked", "left")
+    )
+    x = placed.where("not linked").drop("linked").toDF("family", "e", "a", "n", "over", "left")
+    y = placed.toDF("family", "e", "b", "m", "over_b", "linked", "right")
+    crossed = x.join(y, ["family", "e"]).where(
+        (F.col("linked") | (F.col("a") < F.col("b"))) & _similar_size(num, den)
+        & (F.col("over") + F.col("over_b") <= 2 * both * F.least("left", "right"))
+    ).select("a", "b").distinct()
+    return star.unionByName(crossed)
 
 
 def near_duplicates(

@@ -45,8 +45,10 @@ def near_copies(seed, groups=12, words=(3, 5, 12, 40, 160)):
     return rows
 
 
+@pytest.mark.parametrize("small", [64, 1])
 @pytest.mark.parametrize("seed,width,similarity", [(1, 4, (85, 100)), (2, 5, (4, 5)), (3, 1, (1, 2))])
-def test_links_are_complete(spark, make_docs, seed, width, similarity):
+def test_links_are_complete(spark, make_docs, monkeypatch, seed, width, similarity, small):
+    monkeypatch.setattr(J, "SMALL", small)  # families of two and more are large
     rows = near_copies(seed)
     got = J.near_duplicates(make_docs(rows), width, similarity).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, width, *similarity)
@@ -102,6 +104,21 @@ def test_hot_group_gives_few_pairs(spark, make_docs, monkeypatch):
     assert sum(checked) < 4 * len(rows)
 
 
+def test_large_family_near_the_bound(spark, make_docs):
+    random.seed(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(random.randint(0, 6)):
+            at = random.randrange(len(copy))
+            copy[at : at + random.choice([0, 1, 1])] = [f"z{random.randint(0, 40)}"]
+        rows.append((i, " ".join(copy)))
+    got = J.near_duplicates(make_docs(rows), 4, (85, 100)).collect()
+    want = brute(rows, 4, 85, 100)
+    assert 3 < len({w[2] for w in want}) < 150 and sorted(map(tuple, got), key=repr) == want
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (200, 201)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

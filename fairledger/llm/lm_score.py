@@ -7,7 +7,7 @@ Documents are dealt into blocks by hash. A block sends its distinct n-grams, wit
 the partitions of the count table, which are by n-gram hash. There the counts of all blocks are
 summed, and each block gets the totals of what it asked for. So the exploded n-grams travel once, as
 question and contribution at the same time, a frequent n-gram travels once for each block, and the
-answers are bare counts in the order of the question. Words and pairs go first; a longer n-gram
+answers are bare counts in the order of the question. Sorted hashes travel as gaps, counts mostly as bits. Words and pairs go first; a longer n-gram
 can only reach `least` if both n-grams it begins and ends with do, so only such ones are sent.
 """
 
@@ -29,6 +29,40 @@ _ASKED = "block int, level int, part int, grams binary, counts binary"
 _TOLD = "block int, level int, part int, totals binary"
 
 
+def pack(keys: np.ndarray, parts: int) -> bytes:
+    """Sorted hashes of one partition, as the gaps of their quotients by the number of partitions."""
+    gaps = np.diff(keys // np.uint64(parts), prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes, part: int, parts: int) -> np.ndarray:
+    width = data[0]
+    gaps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    quotients = np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    return quotients * np.uint64(parts) + np.uint64(part)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of one or more: a bit for those above one, a byte for each of these, large ones whole."""
+    more = counts[counts > 1]
+    return b"".join([
+        len(counts).to_bytes(8, "big"), np.packbits(counts > 1).tobytes(),
+        np.minimum(more, 255).astype(np.uint8).tobytes(), more[more >= 255].tobytes()])
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "big")
+    at = 8 + -(-size // 8)
+    above = np.unpackbits(np.frombuffer(data[8:at], np.uint8), count=size).astype(bool)
+    more = np.frombuffer(data, np.uint8, int(above.sum()), at).astype(np.int64)
+    more[more == 255] = np.frombuffer(data[at + len(more) :], np.int64)
+    out = np.ones(size, np.int64)
+    out[above] = more
+    return out
+
+
 class Block:
     """The n-grams of some documents, as hashes by the position of their last word."""
 
@@ -77,7 +111,7 @@ class Block:
     def hear(self, level: int, least: int, parts: int, answers: dict[int, bytes]) -> None:
         keys, _, ends = self.ask(level, least, parts)
         totals = np.concatenate([np.empty(0, np.int64)] + [
-            np.frombuffer(answers[p], np.int64) for p in range(parts) if ends[p + 1] > ends[p]])
+            unpack_counts(answers[p]) for p in range(parts) if ends[p + 1] > ends[p]])
         order = np.argsort(keys)
         self.totals[level] = keys[order], totals[order]
 
@@ -93,29 +127,30 @@ class Block:
         return out
 
 
-def _asked(block: int, level: int, asked) -> pa.Table:
+def _asked(block: int, level: int, asked, parts: int) -> pa.Table:
     keys, counts, ends = asked
-    parts = np.flatnonzero(np.diff(ends))
+    some = np.flatnonzero(np.diff(ends))
     return pa.table({
-        "block": pa.array(np.full(len(parts), block, np.int32)),
-        "level": pa.array(np.full(len(parts), level, np.int32)),
-        "part": pa.array(parts.astype(np.int32)),
-        "grams": pa.array([keys[ends[p] : ends[p + 1]].tobytes() for p in parts], pa.binary()),
+        "block": pa.array(np.full(len(some), block, np.int32)),
+        "level": pa.array(np.full(len(some), level, np.int32)),
+        "part": pa.array(some.astype(np.int32)),
+        "grams": pa.array([pack(keys[ends[p] : ends[p + 1]], parts) for p in some], pa.binary()),
         "counts": pa.array(
-            [counts[ends[p] : ends[p + 1]].astype(np.int32).tobytes() for p in parts], pa.binary()),
+            [pack_counts(counts[ends[p] : ends[p + 1]]) for p in some], pa.binary()),
     })
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _total(table: pa.Table, parts: int) -> pa.Table:
     """Adds up the counts of a partition of the count table, and answers each question."""
-    asked = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
-    counts = [np.frombuffer(c, np.int32) for c in table["counts"].to_pylist()]
+    part = table["part"][0].as_py()
+    asked = [unpack(g, part, parts) for g in table["grams"].to_pylist()]
+    counts = [unpack_counts(c) for c in table["counts"].to_pylist()]
     _, which = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.zeros(int(which.max()) + 1, np.int64)
     np.add.at(totals, which, np.concatenate(counts))
     answers = np.split(totals[which], np.cumsum([len(a) for a in asked])[:-1])
     return table.select(["block", "level", "part"]).append_column(
-        "totals", pa.array([a.tobytes() for a in answers], pa.binary()))
+        "totals", pa.array([pack_counts(a) for a in answers], pa.binary()))
 
 
 def _heard(docs: pa.Table, told: pa.Table, least: int, parts: int) -> Block:
@@ -147,14 +182,14 @@ def backoff_scores(
 
     def first(table: pa.Table) -> pa.Table:
         block = Block(texts(table["text"].combine_chunks()))
-        return _asked(table["block"][0].as_py(), 1, block.ask(1, least, parts))
+        return _asked(table["block"][0].as_py(), 1, block.ask(1, least, parts), parts)
 
     def further(level):
         def ask(docs: pa.Table, told: pa.Table) -> pa.Table:
             if not len(told):  # no words
-                return _asked(0, level, (np.empty(0, np.uint64), np.empty(0), np.zeros(parts + 1)))
+                return _asked(0, level, (np.empty(0, np.uint64), np.empty(0), np.zeros(parts + 1)), parts)
             block = _heard(docs, told, least, parts)
-            return _asked(docs["block"][0].as_py(), level, block.ask(level, least, parts))
+            return _asked(docs["block"][0].as_py(), level, block.ask(level, least, parts), parts)
 
         return ask
 
@@ -175,19 +210,22 @@ def backoff_scores(
                 hit[often] = n
             value += (longest - hit) * np.log(BACKOFF)
         owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        total = lambda x: np.bincount(owner, x, len(block.lengths))
+        each = lambda x: np.bincount(owner, x, len(block.lengths))
         return pa.table({
             "doc_id": docs["doc_id"].combine_chunks(), "n_words": pa.array(block.lengths),
-            **{f"hits_{n}": pa.array(total(hit == n).astype(np.int64)) for n in range(1, order + 1)},
-            "sum": pa.array(total(value).astype(float)),
+            **{f"hits_{n}": pa.array(each(hit == n).astype(np.int64)) for n in range(1, order + 1)},
+            "sum": pa.array(each(value).astype(float)),
         })
 
+    def total(table: pa.Table) -> pa.Table:
+        return _total(table, parts)
+
     told = blocks.groupBy("block").applyInArrow(first, _ASKED).groupBy("part").applyInArrow(
-        _total, _TOLD)
+        total, _TOLD)
     for level in range(2, order):
         asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
             further(level), _ASKED)
-        told = told.unionByName(asked.groupBy("part").applyInArrow(_total, _TOLD))
+        told = told.unionByName(asked.groupBy("part").applyInArrow(total, _TOLD))
     hits = ", ".join(f"hits_{n} long" for n in range(1, order + 1))
     done = stage(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         scored, f"doc_id long, n_words long, {hits}, sum double"))

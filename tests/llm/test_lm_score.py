@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fairledger.llm import lm_score
@@ -33,6 +34,16 @@ def same(got, want):
     assert [g[-2:] for g in got] == [pytest.approx(w[-2:], abs=1e-6) for w in want]
 
 
+def test_what_travels_comes_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000):
+        counts = np.where(rng.random(n) < 0.5, 1, rng.choice([2, 254, 255, 256, 1 << 40], n)).astype(np.int64)
+        assert (lm_score.unpack_counts(lm_score.pack_counts(counts)) == counts).all()
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        keys = np.sort(keys[keys % np.uint64(7) == 3])
+        assert (lm_score.unpack(lm_score.pack(keys, 7), 3, 7) == keys).all()
+
+
 @pytest.mark.parametrize("order,least", [(2, 1), (3, 2), (4, 3)])
 def test_scores(spark, corpus, order, least):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]

@@ -45,8 +45,8 @@ def near_copies(seed, groups=12, words=(3, 5, 12, 40, 160)):
     return rows
 
 
-@pytest.mark.parametrize("small", [64, 1])
-@pytest.mark.parametrize("seed,width,similarity", [(1, 4, (85, 100)), (2, 5, (4, 5)), (3, 1, (1, 2))])
+@pytest.mark.parametrize("seed,width,similarity,small", [
+    (1, 4, (85, 100), 64), (1, 4, (85, 100), 1), (2, 5, (4, 5), 1), (3, 1, (1, 2), 64)])
 def test_links_are_complete(spark, make_docs, monkeypatch, seed, width, similarity, small):
     monkeypatch.setattr(J, "SMALL", small)  # families of two and more are large
     rows = near_copies(seed)

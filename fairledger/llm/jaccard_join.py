@@ -234,10 +234,15 @@ def links(docs: DataFrame, width: int, num: int, den: int, sized: DataFrame) ->
         .select("sid", "key", "n")
     )
     needed = stage(members.select("sid").distinct())
-    first = sized.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    bodies = keep_ids(docs, stage(first.select("doc_id")), "doc_id")
-    sets = stage(in_arrow(
-        bodies, "sid long, elements array<long>", _sets(width)).dropDuplicates(["sid"]))
+    first = stage(sized.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    bodies = keep_ids(docs, first.where("doc_id is not null"), "doc_id")
+    whole = in_arrow(bodies, "sid long, elements array<long>", _sets(width))
+    nameless = first.where("doc_id is null")
+    if not nameless.isEmpty():  # sets of which no row has an id are found by their digest
+        whole = whole.unionByName(keep_ids(in_arrow(
+            docs.where("doc_id is null"), "sid long, elements array<long>", _sets(width)),
+            nameless, "sid"))
+    sets = stage(whole.dropDuplicates(["sid"]))
 
     leader = stage(members.groupBy("key").agg(F.min("sid").alias("b")))
     families = stage(components(members.join(leader, "key").select(

@@ -65,6 +65,16 @@ def test_odd_rows(spark, make_docs):
     assert [tuple(r) for r in J.near_duplicates(make_docs([(1, None)])).collect()] == [(1, 0, 1)]
 
 
+@pytest.mark.parametrize("small", [64, 1])
+def test_rows_without_id_are_bridges(spark, make_docs, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL", small)
+    copy = lambda k: " ".join([f"x{i}" for i in range(k)] + [f"w{i}" for i in range(k, 120)])
+    rows = [(1, copy(5)), (None, copy(9)), (None, copy(9)), (2, copy(13)), (None, copy(17)), (3, "else")]
+    got = J.near_duplicates(make_docs(rows), 4, (85, 100)).collect()
+    want = brute(rows, 4, 85, 100)
+    assert (2, 117, 1) in want and sorted(map(tuple, got), key=repr) == want
+
+
 def test_signatures_meet_all_similar_sets():
     rng = np.random.default_rng(5)
     for _ in range(300):

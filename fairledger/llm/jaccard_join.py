@@ -227,12 +227,20 @@ def links(docs: DataFrame, width: int, num: int, den: int, sized: DataFrame) ->
         _index(width, num, den),
         "key long, salt long, sid long, n int, look boolean, many boolean")
     same = Window.partitionBy("key", "salt")
-    members = stage(
+    # each input partition with a key has a row without salt, so these know of all who look; what
+    # was set aside where nobody looks waits for their answer
+    shared = stage(
         found.withColumn("_rows", F.count(F.lit(1)).over(same))
         .withColumn("_look", F.max("look").over(same))
-        .where("_look and (many or _rows > 1)")
-        .select("sid", "key", "n")
+        .where("(_look or salt != 0) and (many or _rows > 1)")
+        .select("sid", "key", "n", "_look", (F.col("salt") == 0).alias("_first"))
     )
+    members = shared.where("_look").select("sid", "key", "n")
+    waiting = shared.where("not _look")
+    if not waiting.isEmpty():
+        looked = stage(shared.where("_look and _first").select("key").distinct())
+        members = members.unionByName(stage(
+            waiting.join(looked, "key", "left_semi").select("sid", "key", "n")))
     needed = stage(members.select("sid").distinct())
     first = stage(sized.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     bodies = keep_ids(docs, first.where("doc_id is not null"), "doc_id")

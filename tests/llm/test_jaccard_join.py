@@ -75,6 +75,30 @@ def test_rows_without_id_are_bridges(spark, make_docs, monkeypatch, small):
     assert (2, 117, 1) in want and sorted(map(tuple, got), key=repr) == want
 
 
+def test_sets_aside_are_met_from_other_partitions(spark, make_docs, monkeypatch):
+    texts = ["a b c d", *(" ".join(f"w{i}" for i in range(n)) for n in (60, 63))]
+    sets = [shingles(t.encode().split(), 4) for t in texts]
+    (small, aside, other), n = map(J._digest, sets), [len(s) for s in sets]
+    # one partition has two sets of the key and neither looks, the other has one that does
+    rows = [(5, 0, small, n[0], False, True), (5, aside | 1, aside, n[1], False, True),
+            (5, 0, other, n[2], True, False)]
+    found = spark.createDataFrame(
+        rows, "key long, salt long, sid long, n int, look boolean, many boolean").toArrow().to_batches()
+
+    def index(*_):
+        def run(batches):
+            if sum(b.num_rows for b in batches):
+                yield from found
+        return run
+
+    monkeypatch.setattr(J, "_index", index)
+    docs = make_docs(list(enumerate(texts))).select("doc_id", "text").coalesce(1)
+    sized = spark.createDataFrame(
+        [(i, J._digest(s), len(s)) for i, s in enumerate(sets)], "doc_id long, sid long, n long")
+    got = J.links(docs, 4, 85, 100, sized).collect()
+    assert {frozenset(r) for r in got} == {frozenset((aside, other))}
+
+
 def test_signatures_meet_all_similar_sets():
     rng = np.random.default_rng(5)
     for _ in range(300):

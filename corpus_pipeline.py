@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next one's documents. Stages read only doc_id, text and source of the documents and pass on their
-other columns; doc_id names a row, and what a stage decides for a doc_id holds for all rows with it.
-Rows without doc_id pass toxicity, n-gram join and decontamination as they are, since nothing can be
-said of them by id; in the mix they are one document for each text and source.
+other columns. Toxicity, n-gram join and decontamination decide for each row by its own text, whether
+its doc_id is null or repeated. Of a group of near copies one row with an id and one without stay. In
+the mix rows without doc_id are one document for each text and source.
 """
 
 from __future__ import annotations
@@ -25,26 +25,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(stage(ids.where("doc_id is not null").distinct()), "doc_id", "left_anti")
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1").select("doc_id"))
+    return toxicity.without_toxic(docs, model)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays."""
-    groups = jaccard_join.near_duplicates(docs, NGRAM, SIMILARITY)
-    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+    """Of each group of near copies one row of the smallest id stays, and one of those without id."""
+    return jaccard_join.without_near_copies(docs, NGRAM, SIMILARITY)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = decontam.contained(docs, _table(spark, sf_dir, "benchmark"), NGRAM, CONTAINMENT)
-    return _without(docs, found.select("doc_id"))
+    return decontam.without_items(docs, _table(spark, sf_dir, "benchmark"), NGRAM, CONTAINMENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,22 @@ class Block:
                     yield self.ids[i], len(self.sets[i]), n
 
 
+def _blocks(
+    items: DataFrame, width: int, containment: tuple[int, int], id: str, text: str,
+    block_shingles: int,
+):
+    """Broadcasts of the blocks of items."""
+    sized = stage(item_shingles(items, width, id, text).withColumn(
+        "_size", F.size("shingles").cast("long")))
+    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // (block_shingles // 2)))
+    for b in range(blocks):
+        mine = sized.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b)
+        block = mine.collect()  # about half of block_shingles
+        if block:
+            yield items.sparkSession.sparkContext.broadcast(Block(block, *containment))
+
+
 def contained(
     docs: DataFrame, items: DataFrame, width: int = 5, containment: tuple[int, int] = (4, 5),
     id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -107,20 +123,9 @@ def contained(
     ids are returned as null, repeated rows of either side give repeated rows, an empty table gives
     none; other columns are not read.
     """
-    num, den = containment
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = stage(item_shingles(items, width, item_id, item_text).withColumn(
-        "_size", F.size("shingles").cast("long")))
-    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // (block_shingles // 2)))
     out = None
-    for b in range(blocks):
-        mine = sized.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b)
-        block = mine.collect()  # about half of block_shingles
-        if not block:
-            continue
-        held = rows.sparkSession.sparkContext.broadcast(Block(block, num, den))
-
+    for held in _blocks(items, width, containment, item_id, item_text, block_shingles):
         def make(batch, held=held):
             got = [
                 (doc, *f) for doc, body in zip(
@@ -138,3 +143,20 @@ def contained(
         out = rows.limit(0).select(
             "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("item_id", "item_shingles", "found")))
     return out.withColumn("containment", F.col("found") / F.col("item_shingles"))
+
+
+def without_items(
+    docs: DataFrame, items: DataFrame, width: int = 5, containment: tuple[int, int] = (4, 5),
+    text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """The rows of `docs` whose own text contains no item, as `contained` finds them."""
+    at = docs.columns.index(text)
+    for held in _blocks(items, width, containment, item_id, item_text, block_shingles):
+        def clean(batch, held=held):
+            yield batch.filter(pa.array([
+                next(held.value.found(words(body)), None) is None
+                for body in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = in_arrow(docs, docs.schema, clean)
+    return docs

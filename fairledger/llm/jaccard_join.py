@@ -35,8 +35,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fairledger.llm.common import in_arrow, keep_ids, mix, shingles, texts
+from fairledger.llm.common import BROADCAST_ROWS, in_arrow, keep_ids, mix, shingles, texts
 from fairledger.llm.components import components
 from fairledger.plans.staging import stage
 
@@ -381,14 +382,7 @@ def near_duplicates(
     repeat an id get the component of their own text, null ids are linked but never name a
     component (it is null if no row has an id); an empty table gives none; other columns are not read.
     """
-    num, den = similarity
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = stage(in_arrow(rows, "doc_id long, sid long, n long", _sizes(width)))
-    some = sized.where("sid is not null")
-    found = components(links(rows, width, num, den, some))
-    joined = stage(sized.join(
-        found.select(F.col("node").alias("sid"), "component"), "sid", "left"
-    ).withColumn("_part", F.coalesce("component", "sid")).select("doc_id", "n", "_part"))
+    joined = _joined(docs, width, similarity, id, text)
     names = stage(joined.where("_part is not null").groupBy("_part").agg(
         F.min("doc_id").alias("_name")))
     return joined.join(names, "_part", "left").select(
@@ -396,3 +390,71 @@ def near_duplicates(
         F.when(F.col("_part").isNull(), F.col("doc_id")).otherwise(F.col("_name")).alias(
             "component_id"),
     )
+
+
+def _joined(
+    docs: DataFrame, width: int, similarity: tuple[int, int], id: str, text: str,
+) -> DataFrame:
+    """One written row per row of `docs`: doc_id, sid, n, _part; the part is the smallest sid of its
+    component, null without n-grams."""
+    num, den = similarity
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sized = stage(in_arrow(rows, "doc_id long, sid long, n long", _sizes(width)))
+    some = sized.where("sid is not null")
+    found = components(links(rows, width, num, den, some))
+    return stage(sized.join(
+        found.select(F.col("node").alias("sid"), "component"), "sid", "left"
+    ).withColumn("_part", F.coalesce("component", "sid")).select("doc_id", "sid", "n", "_part"))
+
+
+def without_near_copies(
+    docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of `docs` with one row of each group of linked ones, and all without n-grams.
+
+    A row is known by its id and its set of n-grams, so other rows of its id have their own verdict.
+    The row of smallest id and set stays, of equal ones the one whose columns come first in order.
+    Rows without id are compared among themselves in the same way: of a group one of them stays.
+    """
+    joined = _joined(docs, width, similarity, id, text).where("_part is not null")
+    named = joined.where("doc_id is not null").select("doc_id", "sid", "_part")
+    first = stage(named.groupBy("_part").agg(F.min(F.struct("doc_id", "sid")).alias("_first")))
+    gone = stage(named.join(first, "_part").where(
+        "doc_id != _first.doc_id or sid != _first.sid").select("doc_id", "sid").distinct())
+    twice = stage(named.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("_rows"))
+                  .where("_rows > 1").select("doc_id", "sid"))
+    at = docs.columns.index(text)
+
+    def with_sid(batch):
+        sets = [shingles(_words(t), width) for t in texts(batch.column(at))]
+        yield batch.append_column(
+            "_sid", pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()))
+
+    keyed = in_arrow(docs, StructType([*docs.schema, StructField("_sid", LongType())]), with_sid)
+    one = F.min(F.struct(*docs.columns)).alias("_row")
+
+    def among(rows, ids, how):
+        if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        ids = ids.toDF("_id", "_set")
+        return rows.join(
+            ids, (rows[id].cast("long") == ids["_id"]) & (rows["_sid"] == ids["_set"]), how)
+
+    left = among(keyed.where(F.col(id).isNotNull()), gone, "left_anti")
+    if twice.isEmpty():
+        out = left.select(*docs.columns)
+    else:
+        out = among(left, twice, "left_anti").select(*docs.columns).unionByName(
+            among(left, twice, "left_semi").groupBy(id, "_sid").agg(one).select("_row.*"))
+    nameless = joined.where("doc_id is null")
+    if not nameless.isEmpty():
+        blank = keyed.where(F.col(id).isNull())
+        parts = stage(nameless.select(F.col("sid").alias("_sid"), "_part").distinct())
+        out = out.unionByName(
+            blank.where("_sid is not null").groupBy("_sid").agg(one).join(parts, "_sid")
+            .groupBy("_part").agg(F.min("_row").alias("_row")).select("_row.*")
+        ).unionByName(blank.where("_sid is null").select(*docs.columns))
+    else:
+        out = out.unionByName(docs.where(F.col(id).isNull()))
+    return out

@@ -298,3 +298,15 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return in_arrow(rows, "doc_id long, score double, predicted int, clauses long", scored)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, each by its own text."""
+    at = docs.columns.index(text)
+
+    def kept(batch):
+        clauses = np.array(
+            [model.clauses(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(SYMBOLS))
+        yield batch.filter(pa.array(model.score(clauses) < 0.5))
+
+    return in_arrow(docs, docs.schema, kept)

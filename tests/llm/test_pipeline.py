@@ -111,3 +111,24 @@ def test_near_copies_keep_rows_without_id(spark, make_docs, small):
     assert sorted((r.doc_id for r in got.collect()), key=repr) == [7, None]
     sizes = jaccard_join.near_duplicates(make_docs([(7, text)])).select(F.col("n_shingles")).first()
     assert sizes[0] == 4
+
+
+def test_verdicts_are_by_row(spark, make_docs, small):
+    bad = "they hurt and kill you. they kill you! they destroy you!"
+    item = next(r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()
+                if len(decontam.words(r.text)) > 5)
+    clean = "a clean text"
+    for make, text in ((P.toxic_out, bad), (P.leaks_out, item)):
+        rows = [(None, text), (5, text), (5, clean), (None, clean), (6, None)]
+        got = make(spark, make_docs(rows), small).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == [(5, clean), (6, None), (None, clean)]
+
+
+def test_one_row_of_near_copies_stays(spark, make_docs, small):
+    x = "this text of eight words is there twice"
+    y = "another text of more than eight words that comes again"
+    z = "a third text that is only there in rows without any id"
+    rows = [(3, y), (5, x), (9, x), (5, y), (5, x), (None, z), (None, z), (None, None), (None, "")]
+    got = P.near_copies_out(spark, make_docs(rows), small).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(
+        [(3, y), (5, x), (None, z), (None, None), (None, "")], key=repr)

@@ -14,6 +14,7 @@ from fairledger.llm import (
     mixing,
     quality_lm,
     sharding,
+    simhash_join,
     toxicity,
     warc,
 )
@@ -283,6 +284,12 @@ select doc_id, coalesce(removed_units, 0)::int as removed_units,
 from documents left join spans using (doc_id) left join clean using (doc_id)
 """
 
+def op11_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4)
+    return found.select(
+        "doc_id", simhash_join.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -294,6 +301,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash_join": op11_simhash_join,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,

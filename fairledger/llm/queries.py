@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairledger.llm import (
+    collocations,
     decontam,
     exact_dedup,
     jaccard_join,
@@ -290,6 +291,44 @@ def op11_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash_join.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(
+        table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, inside=50)
+
+
+OP12_SQL = f"""
+with p as materialized (
+  select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+        from documents)
+), f as materialized (
+  select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase, count(*) as n
+  from p, (values (1), (2), (3)) s(size), unnest(range(1, len(w) - size + 2)) u(i)
+  group by lang, size, phrase
+), total as (select lang, sum(n)::bigint as n from f where size = 1 group by lang),
+c as materialized (
+  select lang, size, phrase, n as a, string_split(phrase, ' ') as v from f where size > 1 and n >= 10
+), cuts as (
+  select c.lang, c.size, c.phrase, a, k, x.n as l, y.n as r,
+         (1000000::hugeint * a * a // (x.n::hugeint * y.n))::bigint as score
+  from c, unnest(range(1, size)) u(k)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(v[1 : k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(v[k + 1 : size], ' ')
+), scored as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), around as (
+  select lang, array_to_string(v[s : s + 1], ' ') as phrase, max(a) as longer
+  from c, (values (1), (2)) t(s) where size = 3 group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+       phrase, a, l, r, total.n, score
+from scored left join around using (lang, phrase) join total using (lang)
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -302,6 +341,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_simhash_join": op11_simhash_join,
+    "op12_collocations": op12_collocations,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
@@ -310,4 +350,5 @@ ORACLES = {
     "op8_jaccard_join": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }

@@ -16,6 +16,7 @@ from fairledger.llm import (
     quality_lm,
     sharding,
     simhash_join,
+    token_alignment,
     toxicity,
     warc,
 )
@@ -329,6 +330,18 @@ qualify rank <= 2000
 """
 
 
+#: Folder of the vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op13_token_alignment(
+    spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS,
+) -> DataFrame:
+    a = token_alignment.ByteBpe(f"{tokenizers}/byte_bpe_50k.json")
+    b = token_alignment.PieceBpe(f"{tokenizers}/piece_bpe_32k.model")
+    return token_alignment.scored(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -342,6 +355,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_simhash_join": op11_simhash_join,
     "op12_collocations": op12_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,

@@ -100,6 +100,17 @@ def masks(blocks: int, bits: int, segment: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def holes(mask: int, blocks: int, bits: int, segment: int) -> list[int]:
+    """The blocks left out below the last one of a choice, filled up with zeros.
+
+    Of the grids in which two codes share a cell, the first is the one whose holes all differ.
+    """
+    parts = masks(blocks, blocks - 1, segment)
+    inside = [k for k, p in enumerate(parts) if mask & p == p]
+    found = [parts[k] for k in range(inside[-1]) if k not in inside]
+    return found + [0] * (bits - len(found))
+
+
 def blocks_by_cost(count: int, bits: int) -> int:
     """The number of blocks whose rows and pairs in cells cost least for `count` fingerprints.
 
@@ -113,17 +124,17 @@ def blocks_by_cost(count: int, bits: int) -> int:
 
 
 def _grid(nodes: DataFrame, blocks: int, bits: int, segment: int) -> DataFrame:
-    """cell, x and code of each fingerprint in each of the grids over `blocks` less `bits` blocks."""
+    """cell, x, code and grid (a number) of each fingerprint in each grid over all blocks but `bits`."""
     code = embedding(F.col("x")) if segment == 2 else F.col("x")
     return nodes.select(
-        "x", code.alias("code"), F.explode(F.lit(masks(blocks, bits, segment))).alias("mask")
-    ).select(F.xxhash64("mask", F.col("code").bitwiseAND(F.col("mask"))).alias("cell"), "x", "code")
+        "x", code.alias("code"), F.posexplode(F.lit(masks(blocks, bits, segment))).alias("grid", "mask")
+    ).select(F.xxhash64("mask", F.col("code").bitwiseAND(F.col("mask"))).alias("cell"), "x", "code", "grid")
 
 
 def links(nodes: DataFrame, bits: int = 4, full: int = FULL) -> DataFrame:
     """Pairs a < b of the distinct fingerprints `x` that differ in at most `bits` bits; each once.
 
-    `nodes` is read several times.
+    A pair is joined in the first of the cells that it shares. `nodes` is read several times.
     """
     found, grids = None, [(blocks_by_cost(nodes.count(), bits), 2), *((b, 1) for b in FINER if b > bits)]
     for k, (blocks, segment) in enumerate(grids):
@@ -131,11 +142,17 @@ def links(nodes: DataFrame, bits: int = 4, full: int = FULL) -> DataFrame:
         cells = _grid(nodes, blocks, bits, segment)
         shared = stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         some = stage(keep_ids(cells, shared if last else shared.where(F.col("n") <= full), "cell"))
-        a, b = some.toDF("cell", "a", "code_a"), some.toDF("cell", "b", "code_b")
-        near = a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b"))
-                      & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= bits)
-                      & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
-        found = near if found is None else found.unionByName(near)
+        a, b = some.toDF("cell", "a", "code_a", "grid"), some.toDF("cell", "b", "code_b", "_")
+        differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
+        near = (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & (
+            F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+        if bits:
+            lists = [holes(m, blocks, bits, segment) for m in masks(blocks, bits, segment)]
+            for place in range(bits):
+                hole = F.element_at(F.lit([h[place] for h in lists]), F.col("grid") + 1)
+                near &= (hole == 0) | (differ.bitwiseAND(hole) != 0)
+        pairs = a.join(b, near).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
         crowded = shared.where(F.col("n") > full)
         if last or crowded.isEmpty():
             return found.distinct()

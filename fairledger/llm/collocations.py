@@ -36,7 +36,7 @@ TOP = 2000
 #: Share in percent of a phrase's occurrences inside one longer phrase from which it is dropped.
 INSIDE = 50
 #: Words of an input partition that are indexed together.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 #: The filter of pairs has two to this many bits.
 FILTER_BITS = 26
 #: Language of rows that name none.
@@ -69,12 +69,12 @@ class _Ids(dict):
 def _order(ids: np.ndarray, depth: int) -> np.ndarray:
     """Positions in order of the `depth` ids that begin there."""
     size = int(ids.max(initial=0)) + 1
-    nexts = [np.concatenate([ids[k:], np.zeros(min(k, len(ids)), ids.dtype)]) for k in range(depth)]
     if size**depth >= 2**63:
-        return np.lexsort(nexts[::-1])
-    key = nexts[0].astype(np.int64)
-    for n in nexts[1:]:
-        key = key * size + n
+        return np.lexsort([np.append(ids[k:], np.zeros(min(k, len(ids)), ids.dtype)) for k in range(depth)][::-1])
+    key = ids.astype(np.int64)
+    for k in range(1, depth):
+        key *= size
+        key[: len(ids) - k] += ids[k:]
     return np.argsort(key, kind="stable")
 
 
@@ -83,19 +83,19 @@ class Index:
 
     def __init__(self, ids: np.ndarray, depth: int):
         self.before = ids[_order(ids, depth) - 1]
-        rows = np.argsort(self.before, kind="stable")
-        self.last_first = np.empty(len(rows), np.int64)
-        self.last_first[rows] = np.arange(len(rows))
+        rows = np.argsort(self.before, kind="stable").astype(np.int32)
+        self.last_first = np.empty(len(rows), np.int32)
+        self.last_first[rows] = np.arange(len(rows), dtype=np.int32)
 
     def extend(self, low: np.ndarray, n: np.ndarray):
         """All words before each interval [low, low + n): owner, word, low and n of the extended
         phrase here, and by how much its interval in the other index begins later."""
         starts = np.cumsum(n) - n
-        owner = np.repeat(np.arange(len(n)), n)
-        rows = np.arange(len(owner)) + np.repeat(low - starts, n)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        rows = np.arange(len(owner), dtype=np.int32) + np.repeat((low - starts).astype(np.int32), n)
         word = self.before[rows]
-        key = owner * (int(self.before.max(initial=0)) + 1) + word
-        order = np.argsort(key, kind="stable")
+        key = owner.astype(np.int64) * (int(self.before.max(initial=0)) + 1) + word
+        order = np.argsort(key, kind="stable").astype(np.int32)
         key = key[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.arange(0)
         count = np.diff(np.append(at, len(key)))
@@ -216,6 +216,7 @@ def phrase_counts(
                     return passes(bits.value, _pair_hash(lang, of[a], of[b]))
 
                 seq = np.concatenate([np.zeros(1, np.int32), *parts])
+                parts.clear()
                 total = np.count_nonzero(seq)
                 if total:
                     yield _out(lang, pa.array([b""], pa.binary()), np.array([total]))

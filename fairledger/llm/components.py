@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.plans.staging import stage
 
+#: Links that one task thins out at once.
+TASK_LINKS = 500_000
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the written table `links` connects, fewer in dense groups.
+
+    A task keeps those of its links that join what its links before did not join yet, so it returns
+    fewer than it has nodes. Tasks hold `TASK_LINKS` links each, whatever there are in all.
+    """
+    def forest(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+                p, q = root(a), root(b)
+                if p != q:
+                    up[p] = q
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[side] for k in kept], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    tasks = -(-links.count() // TASK_LINKS)
+    return links.select("a", "b").repartition(max(1, tasks)).mapInArrow(forest, "a long, b long")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is its smallest node.

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.llm.common import in_arrow, keep_ids, texts
-from fairledger.llm.components import components
+from fairledger.llm.components import components, thinned
 from fairledger.plans.staging import stage
 
 SEED = 42
@@ -172,7 +172,7 @@ def near_duplicates(
     """
     rows = stage(fingerprints(docs, width, id, text))
     nodes = stage(rows.groupBy(F.col("fingerprint").alias("x")).agg(F.min("doc_id").alias("low")))
-    parts = components(links(nodes.select("x"), bits)).withColumnRenamed("node", "x")
+    parts = components(thinned(stage(links(nodes.select("x"), bits)))).withColumnRenamed("node", "x")
     known = stage(nodes.join(parts, "x", "left").select(
         "x", "low", F.coalesce("component", "x").alias("part")))
     names = stage(known.groupBy("part").agg(F.min("low").alias("component_id")))

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from fairledger.llm import components as C
 from fairledger.llm import simhash_join as S
 
 
@@ -96,3 +97,15 @@ def test_manhattan_distance_is_a_lower_bound(spark):
         assert l1 == sum(abs(p - q) for p, q in zip(ones(a), ones(b))) <= (a ^ b).bit_count()
     for blocks in (5, 6, 8, 16):
         assert len(S.masks(blocks, 4, 2)) == S.comb(blocks, 4)
+
+
+@pytest.mark.parametrize("task_links", [500_000, 40])
+def test_thinned_links_connect_the_same(spark, monkeypatch, task_links):
+    monkeypatch.setattr(C, "TASK_LINKS", task_links)
+    random.seed(4)
+    pairs = [(g * 1000 + random.randrange(30), g * 1000 + random.randrange(30)) for g in range(5) for _ in range(90)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    some = C.thinned(links)
+    assert some.count() < (150 if task_links > 1000 else 450)
+    parts = [dict(map(tuple, C.components(x).collect())) for x in (links, some)]
+    assert parts[0] == parts[1]

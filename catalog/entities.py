@@ -317,6 +317,18 @@ def match_overlay(spark, sf):
     return _flat(matching.all_matches(*_three(spark, sf)))
 
 
+def class_pairs(spark, sf):
+    p, _, a = _three(spark, sf)
+    return matching.class_pairs(p, a).select(
+        *matching.PAIR, F.round("name_similarity", 6).alias("name_similarity"),
+        F.round("address_similarity", 6).alias("address_similarity"), "members", "candidate_members")
+
+
+def name_brackets(spark, sf):
+    p, _, a = _three(spark, sf)
+    return matching.name_brackets(p, a).withColumn("name_similarity", F.round("name_similarity", 6))
+
+
 def ambiguous_pairs(spark, sf):
     p, _, a = _three(spark, sf)
     return _flat(matching.ambiguous(matching.fuzzy_matches(p, a)))
@@ -362,15 +374,17 @@ def score_pairs(spark, sf):
     return _flat(found)
 
 
+QUEUED = [
+    *matching.PAIR, "confidence", "primary_name_a", "city_a", "postal_code_a", "primary_name_b",
+    "city_b", "country_code_b",
+]
+
+
 def pair_queue(spark, sf):
     p, _, a = _three(spark, sf)
-    queue = review.pair_queue(
+    return review.pair_queue(
         matching.fuzzy_matches(p, a), table(spark, sf, "existing"), p, a
-    )
-    return queue.select(
-        *matching.PAIR, "confidence", "primary_name_a", "city_a", "postal_code_a",
-        "primary_name_b", "city_b", "country_code_b",
-    )
+    ).select(*QUEUED)
 
 
 def second_opinions(spark, sf):
@@ -527,20 +541,31 @@ def version_history(spark, sf):
     return versions.history(_all_versions(spark, sf))
 
 
-def match_job(spark, sf):
+def _match_job(spark, sf):
     existing = _exact_and_existing(spark, sf)[1]
-    done = jobs.match_job(*_three(spark, sf), existing, table(spark, sf, "answers"))
-    return done.summary
+    return jobs.match_job(*_three(spark, sf), existing, table(spark, sf, "answers"), "u9")
+
+
+def match_job(spark, sf):
+    return _match_job(spark, sf).summary
+
+
+def match_job_matches(spark, sf):
+    return _match_job(spark, sf).matches.select(
+        *matching.PAIR, "match_method", "confidence", "decision", "decided_by", "ai_recommendation")
+
+
+def match_job_queue(spark, sf):
+    return _match_job(spark, sf).queue.select(*QUEUED)
 
 
 def match_job_audit(spark, sf):
-    existing = _exact_and_existing(spark, sf)[1]
-    done = jobs.match_job(*_three(spark, sf), existing, table(spark, sf, "answers"), "u9")
-    return done.audit.select("tenant_id", "actor_user_id", "action", "entity_id", "new_value")
+    return _match_job(spark, sf).audit.select("tenant_id", "actor_user_id", "action", "entity_id", "new_value")
 
 
 QUERIES = {f.__name__: f for f in (
-    tenant_scope, partner_list, version_history, match_job, match_job_audit,
+    tenant_scope, partner_list, version_history, match_job, match_job_matches, match_job_queue,
+    match_job_audit, class_pairs, name_brackets,
     trigram_similarity, whole_text_similarity, name_key, address_key, identifier_key, exact_groups,
     exact_match, exact_match_documents, primary_address, fuzzy_match, match_overlay,
     ambiguous_pairs, pending_pairs, match_refresh, match_summary, match_list, score_pairs,
@@ -572,29 +597,72 @@ FOUR = "cast(cast(round({0}, 4) as decimal(6,4)) as varchar)"
 BEST_ADDRESS = """, best as (select * from (select *, row_number() over (partition by tenant_id,
   business_partner_id order by is_primary desc, created_at, id) as nth from addresses)
   where nth = 1)"""
-FUZZY = ctes("partners", "addresses", "identifiers", "existing") + BEST_ADDRESS + f""",
-texts as (select p.*, b.city, b.region, b.postal_code, b.country_code,
-  nullif(concat_ws(' ', line1, city, postal_code, country_code), '') as addr
-  from partners p left join best b on b.tenant_id = p.tenant_id
-  and b.business_partner_id = p.id),
-grams as (select *, {_trigrams('primary_name')} as g,
-  case when addr is not null then {_trigrams('addr')} end as h,
-  min(id) over (partition by tenant_id, project_id, lower(primary_name)) as leader_id from texts),
-near as (select a.id = a.leader_id and (b.id = b.leader_id or
-  lower(a.primary_name) = lower(b.primary_name)) as led, a.tenant_id, a.project_id, a.id as business_partner_id,
-  b.id as candidate_business_partner_id, {_similar('a.g', 'b.g')} as name_similarity,
-  case when a.h is not null and b.h is not null then {_similar('a.h', 'b.h')} end
-    as address_similarity
-  from grams a join grams b on a.tenant_id = b.tenant_id and a.project_id = b.project_id
-  and a.id < b.id where {_similar('a.g', 'b.g')} >= 0.5),
-fuzzy_led as (select led, {PAIR}, 'fuzzy' as match_method,
+SCORES = f"""'fuzzy' as match_method,
   floor(least(1.0, case when address_similarity is null then name_similarity * 0.85
     else 0.65 * name_similarity + 0.35 * address_similarity end) * 10000 + 0.5) / 10000
     as confidence,
   'name_similarity=' || {FOUR.format('name_similarity')} || coalesce(';address_similarity=' ||
-    {FOUR.format('address_similarity')}, '') as evidence from near),
-fuzzy_all as (select * exclude (led) from fuzzy_led),
-fuzzy as (select * exclude (led) from fuzzy_led where led)
+    {FOUR.format('address_similarity')}, '') as evidence"""
+# every_class: all pairs of classes of similar names; listed: those that the list is defined by
+FUZZY = ctes("partners", "addresses", "identifiers", "existing") + BEST_ADDRESS + f""",
+texts as materialized (select p.*, lower(primary_name) as nm, b.city, b.region, b.postal_code,
+  b.country_code, concat_ws(' ', line1, city, postal_code, country_code) as addr
+  from partners p left join best b on b.tenant_id = p.tenant_id
+  and b.business_partner_id = p.id),
+counted as (select tenant_id, project_id, nm, addr, min(id) as class_id, count(*) as members
+  from texts where regexp_matches(nm, '[\\p{{L}}\\p{{N}}]') group by all),
+classes as materialized (select *, case when addr <> '' then {_trigrams('addr')} end as h
+  from counted),
+named as materialized (select *, min(class_id) over w as leader_id, count(*) over w as classes,
+  (sum(members) over w)::bigint as named_alike,
+  min(case when addr = '' then class_id end) over w as blank_id
+  from classes window w as (partition by tenant_id, project_id, nm)),
+leaders as materialized (select tenant_id, project_id, leader_id, classes, named_alike,
+  {_trigrams('nm')} as g from named where class_id = leader_id),
+name_grams as materialized (select tenant_id, project_id, leader_id, len(g) as n, unnest(g) as t
+  from leaders),
+alike as materialized (select a.tenant_id, a.project_id, a.leader_id as a, b.leader_id as b,
+  count(*) / (a.n + b.n - count(*)) as name_similarity
+  from name_grams a join name_grams b on a.tenant_id = b.tenant_id and a.project_id = b.project_id
+  and a.t = b.t and a.leader_id < b.leader_id
+  group by a.tenant_id, a.project_id, a.leader_id, b.leader_id, a.n, b.n
+  having count(*) / (a.n + b.n - count(*)) >= 0.5
+  union all select tenant_id, project_id, leader_id, leader_id, 1.0 from leaders),
+every_class as materialized (select a, b, s.tenant_id, s.project_id, x.class_id as x, y.class_id as y,
+  x.blank_id as blank_a, y.blank_id as blank_b, x.members as members_x, y.members as members_y,
+  name_similarity, case when x.addr <> '' and y.addr <> '' then {_similar('x.h', 'y.h')} end
+    as address_similarity
+  from alike s join named x on x.tenant_id = s.tenant_id and x.project_id = s.project_id
+  and x.leader_id = s.a join named y on y.tenant_id = s.tenant_id
+  and y.project_id = s.project_id and y.leader_id = s.b
+  where s.a <> s.b or x.class_id < y.class_id),
+listed as materialized (select tenant_id, project_id, least(x, y) as business_partner_id,
+  greatest(x, y) as candidate_business_partner_id, name_similarity, address_similarity,
+  case when x < y then members_x else members_y end as members,
+  case when x < y then members_y else members_x end as candidate_members
+  from every_class where address_similarity >= 0.5 or x = a and y = b or a = b and x = a
+  or a <> b and (x = blank_a and y = b or x = a and y = blank_b)),
+fuzzy as materialized (select {PAIR}, {SCORES} from (
+  select {PAIR}, name_similarity, address_similarity from listed
+  union all select tenant_id, project_id, class_id, id, 1.0,
+  case when addr <> '' then case when len(h) > 0 then 1.0 else 0.0 end end
+  from texts join classes using (tenant_id, project_id, nm, addr) where id <> class_id))
+"""
+
+
+def _scored(asked: str) -> str:
+    """scored: the fuzzy rows of the pairs asked for, each by its own names and addresses."""
+    return f""", grams as materialized (select tenant_id, project_id, id,
+  {_trigrams('primary_name')} as g, case when addr <> '' then {_trigrams('addr')} end as h
+  from texts),
+scored as (select {PAIR}, {SCORES} from (select k.tenant_id, k.project_id, k.business_partner_id,
+  k.candidate_business_partner_id, {_similar('a.g', 'b.g')} as name_similarity,
+  case when a.h is not null and b.h is not null then {_similar('a.h', 'b.h')} end
+    as address_similarity from ({asked}) k
+  join grams a on a.tenant_id = k.tenant_id and a.project_id = k.project_id
+  and a.id = k.business_partner_id
+  join grams b on b.tenant_id = k.tenant_id and b.project_id = k.project_id
+  and b.id = k.candidate_business_partner_id) where name_similarity >= 0.5)
 """
 
 
@@ -692,23 +760,38 @@ DIFF = ctes("before", "after") + """select tenant_id, case when b.id is null the
   where b.id is null or b.name is distinct from a.name
     or b.segment is distinct from a.segment"""
 
+ASKED = f"select {PAIR} from existing union select {PAIR} from answers"
 RUN = FUZZY.replace("with partners", "with answers as (" + ctes("answers")[len("with answers as ("):]
                     + ", partners", 1) + _exact_sql(
-    "partners", "identifiers",
-    f"select {PAIR} from fuzzy union {EXISTING} union select {PAIR} from answers",
-) + OPINIONS + f""",
-asked as (select {PAIR} from fuzzy union {EXISTING} union select {PAIR} from answers),
-found as (select {ROW} from exact union all select {ROW} from fuzzy_all semi join asked using ({PAIR})
-  anti join exact using ({PAIR})),
+    "partners", "identifiers", f"select {PAIR} from fuzzy union {ASKED}",
+) + _scored(ASKED) + OPINIONS + f""",
+found as materialized (select {ROW} from exact union all select {ROW} from (
+  select * from fuzzy union select * from scored) anti join exact using ({PAIR})),
+adjudged as (select {PAIR}, ai_recommendation, ai_confidence from opinions
+  semi join (select {PAIR} from found anti join (select {PAIR} from existing where decision <>
+  'needs_review') using ({PAIR}) where match_method = 'fuzzy' and confidence >= 0.5
+  and confidence < 0.9) using ({PAIR})),
 run as (select f.tenant_id, f.project_id, count(*) as candidates_found,
   count(*) filter (where e.decision is null or e.decision = 'needs_review') as new_or_refreshed,
   count(*) filter (where e.decision <> 'needs_review') as skipped_already_decided,
-  count(o.ai_recommendation) filter (where (e.decision is null or e.decision = 'needs_review')
-    and f.match_method = 'fuzzy' and f.confidence >= 0.5 and f.confidence < 0.9) as adjudicated
-  from found f left join existing e using ({PAIR}) left join opinions o using ({PAIR})
+  count(o.ai_recommendation) as adjudicated
+  from found f left join existing e using ({PAIR}) left join adjudged o using ({PAIR})
   group by all)
 """
 
+
+def _queue(found: str) -> str:
+    return f"""select f.tenant_id, f.project_id, f.business_partner_id,
+  f.candidate_business_partner_id, f.confidence, a.primary_name as primary_name_a,
+  a.city as city_a, a.postal_code as postal_code_a, b.primary_name as primary_name_b,
+  b.city as city_b, b.country_code as country_code_b
+  from {found} f join texts a on a.id = f.business_partner_id
+  join texts b on b.id = f.candidate_business_partner_id
+  where f.match_method = 'fuzzy' and f.confidence >= 0.5 and f.confidence < 0.9 and not exists (
+  select 1 from existing e where e.business_partner_id = f.business_partner_id and
+  e.candidate_business_partner_id = f.candidate_business_partner_id and decision <> 'needs_review')"""
+
+
 ORACLES = {
     "tenant_scope": ctes("partners") + "select id, primary_name from partners "
     "where tenant_id = 'acme' and project_id = 'web'",
@@ -774,18 +857,31 @@ ORACLES = {
   decision from existing e join (select id, primary_name from partners) p
   on p.id = e.business_partner_id join (select id, primary_name from partners) c
   on c.id = e.candidate_business_partner_id where decision = 'keep_separate'""",
-    "score_pairs": FUZZY + _exact_sql("partners", "identifiers") + f"""select {ROW} from exact_all
-  semi join existing using ({PAIR}) union all select {ROW} from fuzzy_all
-  semi join existing using ({PAIR}) anti join exact_all using ({PAIR})""",
-    "pair_queue": FUZZY + f"""select f.tenant_id, f.project_id, f.business_partner_id,
-  f.candidate_business_partner_id, f.confidence, a.primary_name as primary_name_a,
-  a.city as city_a, a.postal_code as postal_code_a, b.primary_name as primary_name_b,
-  b.city as city_b, b.country_code as country_code_b
-  from fuzzy f join texts a on a.id = f.business_partner_id
-  join texts b on b.id = f.candidate_business_partner_id
-  where f.confidence >= 0.5 and f.confidence < 0.9 and not exists (select 1 from existing e
-  where e.business_partner_id = f.business_partner_id and e.candidate_business_partner_id =
-  f.candidate_business_partner_id and decision <> 'needs_review')""",
+    "score_pairs": FUZZY + _exact_sql("partners", "identifiers") + _scored(
+        f"select {PAIR} from existing") + f"""select {ROW} from exact_all
+  semi join existing using ({PAIR}) union all select {ROW} from scored
+  anti join exact_all using ({PAIR})""",
+    "class_pairs": FUZZY + f"select {PAIR}, round(name_similarity, 6) as name_similarity, "
+    "round(address_similarity, 6) as address_similarity, members, candidate_members from listed",
+    "name_brackets": FUZZY + """select s.tenant_id, s.project_id, a, b,
+  round(name_similarity, 6) as name_similarity,
+  case when a = b then x.named_alike * (x.named_alike - 1) // 2
+    else x.named_alike * y.named_alike end as pairs,
+  floor((0.65 * name_similarity + 0.35 * 0.5) * 10000 + 0.5) / 10000 as others_below
+  from alike s join leaders x on x.tenant_id = s.tenant_id and x.project_id = s.project_id
+  and x.leader_id = a join leaders y on y.tenant_id = s.tenant_id and y.project_id = s.project_id
+  and y.leader_id = b where a <> b or x.named_alike > 1""",
+    "match_job_matches": RUN + f"""select {PAIR},
+  case when fresh then found_method else match_method end as match_method,
+  case when fresh then found_confidence else confidence end as confidence,
+  coalesce(decision, 'needs_review') as decision, decided_by,
+  case when fresh then ai_recommendation end as ai_recommendation
+  from (select {PAIR}, e.match_method, e.confidence, e.decision, e.decided_by,
+    x.match_method as found_method, x.confidence as found_confidence,
+    coalesce(e.decision, 'needs_review') = 'needs_review' and x.match_method is not null as fresh
+    from existing e full join found x using ({PAIR})) left join adjudged using ({PAIR})""",
+    "match_job_queue": RUN + _queue("found"),
+    "pair_queue": FUZZY + _queue("fuzzy"),
     "second_opinions": ctes("answers") + OPINIONS + f"select {PAIR}, ai_recommendation, "
     "ai_confidence, ai_reasoning from opinions",
     "decision_outcomes": JUDGED + f"select {PAIR}, decision, role, user_id, outcome from judged",

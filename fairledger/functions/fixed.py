@@ -71,6 +71,8 @@ LEGAL_SUFFIXES = [
     "CO", "LTD", "LP", "PLC", "AG", "SA", "SRL", "BV",
 ]
 NAME_SIMILARITY = 0.5
+# own choice: pairs of similar names are listed one by one from this address similarity on
+ADDRESS_SIMILARITY = 0.5
 AMBIGUOUS = (0.5, 0.9)
 WEIGHT_NAME, WEIGHT_ADDRESS = 0.65, 0.35
 NAME_ALONE, ADDRESS_ALONE = 0.85, 0.7

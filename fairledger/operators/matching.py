@@ -5,13 +5,14 @@ identifiers  (tenant_id, business_partner_id, identifier_type, identifier_value,
 addresses    (tenant_id, business_partner_id, line1, city, postal_code, country_code, is_primary,
               created_at, id, ...)
 
-Groups and pairs. Partners that share an identifier, or a name, form a group. A group is listed by its
-members and their leader, the member with the smallest id: one row for each member but the leader,
-whatever the size of the group. Names that are similar are listed once, as the pair of their
-leaders. These lists are complete and grow with the partners, where all pairs would grow with the
-square of a group. What a group or two similar names imply for any two members is a matter of asking:
-`score_pairs` gives method, evidence and confidence of given pairs, and the pairs that already have a
-row in the match table are asked for in every run.
+Groups and pairs. Partners that share an identifier form a group, which is listed by its members and
+their leader, the member with the smallest id: one row for each member but the leader. Partners with
+one name and one address form a class and are listed in the same way; what holds for one pair of
+members holds for all. Similar names are listed by their classes: all those with similar addresses,
+and the leaders, see `class_pairs`. So the lists are linear in the partners, the classes and the
+similar names, where all pairs would grow with the square of a group, and the most confident pair
+between two names is always in them. `score_pairs` gives method, evidence and confidence of any pair
+asked for, and the pairs that already have a row in the match table are asked for in every run.
 """
 
 from __future__ import annotations
@@ -149,36 +150,156 @@ def exact_matches(
 
 
 def _named(partners: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Partners with their comparison name and address text, each as trigram codes."""
+    """Partners with their comparison name and the text of their address, '' for none."""
+    line = address_text(
+        F.col("line1"), F.col("city"), F.col("postal_code"), F.col("country_code"))
     first = primary_addresses(addresses).select(
-        "tenant_id", F.col("business_partner_id").alias("id"),
-        trigram_codes(address_text(
-            F.col("line1"), F.col("city"), F.col("postal_code"), F.col("country_code")
-        )).alias("address"),
-    )
-    named = partners.select(*PROJECT, "id", F.lower("primary_name").alias("name"))
-    return named.join(first, ["tenant_id", "id"], "left")
+        "tenant_id", F.col("business_partner_id").alias("id"), line.alias("address"))
+    return partners.select(*PROJECT, "id", F.lower("primary_name").alias("name")).join(
+        first, ["tenant_id", "id"], "left").withColumn("address", F.coalesce("address", F.lit("")))
 
 
-def name_groups(partners: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Every partner with the size and the leader of the group that has its name."""
-    named = _named(partners, addresses)
-    groups = named.groupBy(*PROJECT, "name").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct("id", "address")).alias("leader"),
-    )
-    return named.join(stage(groups), [*PROJECT, "name"]).select(
-        *PROJECT, "name", "id", "address", "group_size",
-        F.col("leader.id").alias("leader_id"), F.col("leader.address").alias("leader_address"),
+def _codes(address: Column) -> Column:
+    return F.when(address != "", trigram_codes(address))
+
+
+CLASS = [*PROJECT, "name", "address"]
+
+
+def name_classes(named: DataFrame) -> DataFrame:
+    """Classes of partners with one name and one address, which no signal tells apart.
+
+    class_id is the smallest id of the class, leader_id that of its name; `members` and `named_alike`
+    count the partners of the class and of the name, `classes` the classes of the name. Names
+    without a letter or digit are in no class, as they are similar to nothing.
+    """
+    classes = stage(named.where(F.regexp_count("name", F.lit(r"[\p{L}\p{N}]")) > 0).groupBy(*CLASS).agg(
+        F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")))
+    names = classes.groupBy(*PROJECT, "name").agg(
+        F.min("class_id").alias("leader_id"), F.count(F.lit(1)).alias("classes"),
+        F.sum("members").alias("named_alike"),
+        F.min(F.when(F.col("address") == "", F.col("class_id"))).alias("blank_id"),
     )
+    return classes.join(stage(names), [*PROJECT, "name"])
+
+
+def similar_names(classes: DataFrame, threshold: float = K.NAME_SIMILARITY) -> DataFrame:
+    """(PROJECT, a, b, name_similarity): different names by their leaders, a < b, and each name of
+    several classes with itself."""
+    leaders = classes.where(F.col("class_id") == F.col("leader_id"))
+    names = leaders.select(*PROJECT, "leader_id", trigram_codes(F.col("name")).alias("items"))
+    itself = leaders.where("classes > 1").select(
+        *PROJECT, F.col("leader_id").alias("a"), F.col("leader_id").alias("b"),
+        F.lit(1.0).alias("name_similarity"))
+    return similar_pairs(names, PROJECT, "leader_id", "items", threshold).withColumnRenamed(
+        "similarity", "name_similarity").unionByName(itself)
+
+
+def _near_addresses(alike: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes of two similar names, or of one, with an address similarity of `least`.
+
+    The join on trigrams runs within each pair of names. Only pairs across the two names count.
+    """
+    scope = [*PROJECT, "a", "b", "name_similarity"]
+    placed = classes.where("address <> ''").select(
+        *PROJECT, "leader_id", "class_id", _codes(F.col("address")).alias("items"))
+
+    def side(mark: str, some: DataFrame) -> DataFrame:
+        return some.join(placed.withColumnRenamed("leader_id", mark), [*PROJECT, mark]).select(
+            *scope, F.concat(F.lit(mark), "class_id").alias("of"), "items")
 
+    sides = side("a", alike).unionByName(side("b", alike.where("a <> b")))
+    near = similar_pairs(sides, scope, "of", "items", least, left_id="of_a", right_id="of_b")
+    mark = lambda c: F.substring(c, 1, 1)
+    return near.where((F.col("a") == F.col("b")) | (mark("of_a") != mark("of_b"))).select(
+        *PROJECT, F.expr("substr(of_a, 2)").alias("x"), F.expr("substr(of_b, 2)").alias("y"),
+        "name_similarity", F.col("similarity").alias("address_similarity"))
 
-def similar_names(groups: DataFrame, threshold: float = K.NAME_SIMILARITY) -> DataFrame:
-    """Pairs of different names, each standing for its group through the leader's id."""
-    names = groups.where(F.col("id") == F.col("leader_id")).select(
-        *PROJECT, "leader_id", trigram_codes(F.col("name")).alias("items")
+
+def class_pairs(
+    partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
+    least_address: float = K.ADDRESS_SIMILARITY,
+) -> DataFrame:
+    """(PAIR, name_similarity, address_similarity, members, candidate_members): pairs of classes, each
+    by its smallest id, whose members all have these similarities among them.
+
+    Listed are, for similar names and for a name with itself, all pairs of classes whose addresses
+    are similar by `least_address`; a class without address and one class of the other name, which
+    stands for all its classes, as without an address on both sides the name alone counts; and the
+    leaders of both names, or the leader of a name and each of its other classes. So the list grows
+    with classes and similar names, and no pair that is in none of its rows is more confident than
+    `name_brackets` says.
+    """
+    return _class_pairs(stage(name_classes(_named(partners, addresses))), threshold, least_address)
+
+
+def _class_pairs(classes: DataFrame, threshold: float, least_address: float) -> DataFrame:
+    alike = stage(similar_names(classes, threshold))
+    near = _near_addresses(alike, classes, least_address)
+    names = classes.where(F.col("class_id") == F.col("leader_id"))
+    across, within = alike.where("a <> b"), alike.where("a = b")
+    blanks = names.where("blank_id is not null and blank_id <> leader_id")
+
+    def blank(mark: str, other: str) -> DataFrame:
+        of = blanks.select(*PROJECT, F.col("leader_id").alias(mark), F.col("blank_id").alias("x"))
+        return across.join(of, [*PROJECT, mark]).select(
+            *PROJECT, "x", F.col(other).alias("y"), "name_similarity")
+
+    others = classes.where(F.col("class_id") != F.col("leader_id")).select(
+        *PROJECT, F.col("leader_id").alias("x"), F.col("class_id").alias("y"))
+    led = across.select(*PROJECT, F.col("a").alias("x"), F.col("b").alias("y"), "name_similarity").unionByName(
+        within.withColumnRenamed("a", "x").join(others, [*PROJECT, "x"]).select(
+            *PROJECT, "x", "y", "name_similarity"))
+    # those with similar addresses are in `near` already
+    rest = _with_classes(led.unionByName(blank("a", "b")).unionByName(blank("b", "a")), classes).withColumn(
+        "address_similarity", _address_similarity(F.col("items_x"), F.col("items_y"))
+    ).where(F.col("address_similarity").isNull() | (F.col("address_similarity") < least_address))
+    listed = _with_classes(near, classes, items=False).unionByName(rest.drop("items_x", "items_y"))
+    swap = F.col("x") > F.col("y")
+    return listed.select(
+        *PROJECT, F.least("x", "y").alias("business_partner_id"),
+        F.greatest("x", "y").alias("candidate_business_partner_id"),
+        "name_similarity", "address_similarity",
+        F.when(swap, F.col("members_y")).otherwise(F.col("members_x")).alias("members"),
+        F.when(swap, F.col("members_x")).otherwise(F.col("members_y")).alias("candidate_members"),
     )
-    return similar_pairs(names, PROJECT, "leader_id", "items", threshold)
+
+
+def _with_classes(pairs: DataFrame, classes: DataFrame, items: bool = True) -> DataFrame:
+    for mark in "xy":
+        of = classes.select(
+            *PROJECT, F.col("class_id").alias(mark), F.col("members").alias(f"members_{mark}"),
+            *([_codes(F.col("address")).alias(f"items_{mark}")] if items else []))
+        pairs = pairs.join(of, [*PROJECT, mark])
+    return pairs
+
+
+def name_brackets(
+    partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
+    least_address: float = K.ADDRESS_SIMILARITY,
+) -> DataFrame:
+    """One row for each two similar names, and each name with itself: a, b (their leaders),
+    name_similarity, pairs (of their partners), and others_below.
+
+    A pair of partners that no row of `class_pairs` speaks for is less confident than others_below.
+    """
+    classes = stage(name_classes(_named(partners, addresses)))
+    names = classes.where(F.col("class_id") == F.col("leader_id")).select(
+        *PROJECT, "leader_id", "named_alike")
+    itself = classes.where(F.col("class_id") == F.col("leader_id")).where("classes = 1").select(
+        *PROJECT, F.col("leader_id").alias("a"), F.col("leader_id").alias("b"),
+        F.lit(1.0).alias("name_similarity"))
+    alike = similar_names(classes, threshold).unionByName(itself)
+    for mark in "ab":
+        alike = alike.join(
+            names.toDF(*PROJECT, mark, f"named_{mark}"), [*PROJECT, mark])
+    return alike.select(
+        *PROJECT, "a", "b", "name_similarity",
+        F.when(F.col("a") == F.col("b"), F.expr("named_a * (named_a - 1) div 2")).otherwise(
+            F.col("named_a") * F.col("named_b")).alias("pairs"),
+        match_confidence(F.lit(False), F.col("name_similarity"), F.lit(least_address)).alias(
+            "others_below"),
+    ).where("pairs > 0")
 
 
 def _address_similarity(a: Column, b: Column) -> Column:
@@ -187,38 +308,21 @@ def _address_similarity(a: Column, b: Column) -> Column:
 
 def fuzzy_scores(
     partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
+    least_address: float = K.ADDRESS_SIMILARITY,
 ) -> DataFrame:
-    """(PAIR, name_similarity, address_similarity) of leaders of similar names, and of the leader
-    and each member of a name."""
-    groups = stage(name_groups(partners, addresses))
-    has_items = F.regexp_count("name", F.lit(r"[\p{L}\p{N}]")) > 0
-    same = _linked(
-        groups.where(has_items), [*PROJECT, "name"], "id", ["address"]
-    ).withColumn("name_similarity", F.lit(1.0)).drop("name")
-
-    leaders = groups.where(F.col("id") == F.col("leader_id"))
-
-    def side(mark: str) -> DataFrame:
-        return leaders.select(
-            *PROJECT, F.col("id").alias(f"id_{mark}"), F.col("address").alias(f"address_{mark}"))
-
-    across = (
-        similar_names(groups, threshold)
-        .withColumnsRenamed({"a": "id_a", "b": "id_b", "similarity": "name_similarity"})
-        .join(side("a"), [*PROJECT, "id_a"])
-        .join(side("b"), [*PROJECT, "id_b"])
-    )
-    swap = F.col("id_a") > F.col("id_b")
-    return same.unionByName(across).select(
-        *PROJECT,
-        F.least("id_a", "id_b").alias("business_partner_id"),
-        F.greatest("id_a", "id_b").alias("candidate_business_partner_id"),
-        "name_similarity",
-        _address_similarity(
-            F.when(swap, F.col("address_b")).otherwise(F.col("address_a")),
-            F.when(swap, F.col("address_a")).otherwise(F.col("address_b")),
-        ).alias("address_similarity"),
-    )
+    """(PAIR, name_similarity, address_similarity) of `class_pairs`, and of the smallest id and each
+    other member of a class."""
+    named = _named(partners, addresses)
+    classes = stage(name_classes(named))
+    score = ["name_similarity", "address_similarity"]
+    # grouping columns are never null here: a null name is in no class
+    same = named.join(classes.where("members > 1"), CLASS).where(F.col("id") != F.col("class_id")).select(
+        *PROJECT, F.col("class_id").alias("business_partner_id"),
+        F.col("id").alias("candidate_business_partner_id"), F.lit(1.0).alias("name_similarity"),
+        F.when(F.col("address") != "", _address_similarity(
+            _codes(F.col("address")), _codes(F.col("address")))).alias("address_similarity"))
+    return same.unionByName(
+        _class_pairs(classes, threshold, least_address).select(*PAIR, *score))
 
 
 def _as_fuzzy(scores: DataFrame) -> DataFrame:
@@ -232,8 +336,9 @@ def _as_fuzzy(scores: DataFrame) -> DataFrame:
 
 def fuzzy_matches(
     partners: DataFrame, addresses: DataFrame, threshold: float = K.NAME_SIMILARITY,
+    least_address: float = K.ADDRESS_SIMILARITY,
 ) -> DataFrame:
-    return _as_fuzzy(fuzzy_scores(partners, addresses, threshold))
+    return _as_fuzzy(fuzzy_scores(partners, addresses, threshold, least_address))
 
 
 def overlay(exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
@@ -289,7 +394,8 @@ def score_pairs(
 ) -> DataFrame:
     """Candidates among the pairs asked for, whatever the size of the groups they come from."""
     named = _named(partners, addresses).select(
-        *PROJECT, "id", "address", trigram_codes(F.col("name")).alias("items")
+        *PROJECT, "id", _codes(F.col("address")).alias("address"),
+        trigram_codes(F.col("name")).alias("items"),
     )
 
     def side(id_col: str, mark: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,81 @@ def test_one_rule_for_groups_of_any_size(spark, size):
         (ids[-1], "x"): "fuzzy", (ids[-1], "z"): "exact"}
 
 
+def test_most_confident_pair_of_two_names_is_listed(spark):
+    partners = spark.createDataFrame([
+        ("t", "p", "a1", "Acme Holding"), ("t", "p", "a2", "Acme Holding"), ("t", "p", "a3", "Acme Holding"),
+        ("t", "p", "b1", "Acme Holdings")], PARTNER)
+    place = {"a1": "Alte Gasse 1 Wien", "a2": "7 Long Street Leeds", "a3": "Rue Longue 5 Lyon",
+             "b1": "7 Long Street Leeds"}
+    addresses = spark.createDataFrame(
+        [("t", f"x{k}", k, v, None, None, None, None, True, dt.date(2024, 1, 1)) for k, v in place.items()],
+        ADDRESS)
+    identifiers = spark.createDataFrame([], IDENT)
+    got = pairs(matching.all_matches(partners, identifiers, addresses))
+    full = pairs(matching.score_pairs(every_pair(partners), partners, identifiers, addresses))
+    assert got["a2", "b1"]["confidence"] == full["a2", "b1"]["confidence"] == max(
+        r["confidence"] for r in full.values())
+    assert {("a1", "a2"), ("a1", "a3"), ("a1", "b1")} <= set(got)
+    queue = review.pair_queue(
+        matching.all_matches(partners, identifiers, addresses), existing_rows(spark), partners, addresses)
+    assert ("a2", "b1") in {(r["business_partner_id"], r["candidate_business_partner_id"])
+                            for r in queue.collect()}
+
+
+@pytest.mark.parametrize("seed,least", [(1, 0.5), (2, 0.3), (3, 0.9)])
+def test_every_pair_has_a_row_of_its_classes_or_is_below_the_bracket(spark, seed, least):
+    rng = random.Random(seed)
+    names = ["Acme Corp", "acme corp", "Acme Corporation", "Acme", "Globex AG", "Globex", "--", "Ünion Öl"]
+    streets = ["1 Main St Leeds", "2 Main St Leeds", "1 Main Street Leeds", "9 Hill Rd York", None, None, "?"]
+    rows = [("t", rng.choice("pq"), f"{n:03}", rng.choice(names)) for n in range(70)]
+    partners = spark.createDataFrame(rows, PARTNER)
+    line = {r[2]: rng.choice(streets) for r in rows}
+    addresses = spark.createDataFrame(
+        [("t", f"x{k}", k, v, None, None, None, None, True, dt.date(2024, 1, 1))
+         for k, v in line.items() if v], ADDRESS)
+    full = pairs(matching.score_pairs(
+        every_pair(partners), partners, spark.createDataFrame([], IDENT), addresses))
+    listed = pairs(matching.fuzzy_matches(partners, addresses, least_address=least))
+    assert all(listed[k]["confidence"] == full[k]["confidence"] for k in listed)
+    spoken = {(r["business_partner_id"], r["candidate_business_partner_id"]): r
+              for r in matching.class_pairs(partners, addresses, least_address=least).collect()}
+    of = {r[2]: (r[1], r[3].lower(), line[r[2]] or "") for r in rows}
+    first, leader, size = {}, {}, {}
+    for id, c in sorted(of.items()):
+        first.setdefault(c, id)
+        leader.setdefault(c[:2], id)
+        size[c] = size.get(c, 0) + 1
+    below = {(r["a"], r["b"]): r for r in matching.name_brackets(
+        partners, addresses, least_address=least).collect()}
+    seen = dict.fromkeys(below, 0)
+    for (a, b), row in full.items():
+        x, y = sorted((first[of[a]], first[of[b]]))
+        names_of = tuple(sorted((leader[of[a][:2]], leader[of[b][:2]])))
+        seen[names_of] += 1
+        if x == y:
+            assert (x, max(a, b)) in listed or x in (a, b)
+        elif (x, y) in spoken:
+            row = spoken[x, y]
+            assert listed[x, y]["confidence"] == full[a, b]["confidence"]
+            assert (row["members"], row["candidate_members"]) == (size[of[x]], size[of[y]])
+        elif "" in (of[a][2], of[b][2]):  # the name alone counts: one row speaks for all addresses
+            blank = first[of[a] if of[a][2] == "" else of[b]]
+            assert any(blank in k and listed[k]["confidence"] == full[a, b]["confidence"]
+                       for k in spoken if set(k) <= set(of))
+        else:
+            assert full[a, b]["confidence"] < below[names_of]["others_below"]
+    assert seen == {k: r["pairs"] for k, r in below.items()}
+
+
+def test_one_name_with_many_addresses_stays_linear(spark):
+    rows = [("t", "p", f"{n:04}", "One Name" if n % 2 else "One Names") for n in range(600)]
+    partners = spark.createDataFrame(rows, PARTNER)
+    addresses = spark.createDataFrame(
+        [("t", f"x{r[2]}", r[2], f"{r[2]}{int(r[2]) * 7919 % 9973} street", None, None, None, None, True,
+          dt.date(2024, 1, 1)) for r in rows], ADDRESS)
+    assert matching.fuzzy_matches(partners, addresses, least_address=0.9).count() < 3 * 600
+
+
 def components(edges):
     parent = {}
 

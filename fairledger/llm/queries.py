@@ -235,12 +235,8 @@ group by doc_id, item_id, item_shingles having 5 * count(*) >= 4 * item_shingles
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    spans = line_dedup.repeats(docs)
-    return line_dedup.cut(docs, spans).select(
-        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("removed_units"),
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"]),
-                   F.lit(0)).alias("removed_chars"),
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("removed_units"), "removed_chars",
         F.concat_ws(";", F.transform("spans", lambda s: F.concat(
             s["start"], F.lit("+"), s["length"], F.lit("="), s["keep_doc_id"], F.lit(":"),
             s["keep_start"]))).alias("removed"),
@@ -248,44 +244,82 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Passages by words: two texts are laid over each other at each offset at which they share a unit, and
+# the runs of equal words that hold one are measured. Ids are unique in the table.
 OP10_SQL = f"""
 with d as materialized (select doc_id, text from documents where doc_id is not null),
-pieces as materialized (
-  select doc_id, unnest(p) as piece, generate_subscripts(p, 1) - 1 as unit
+pieces as (
+  select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as unit
   from (select doc_id, regexp_extract_all(
           coalesce(text, ''), '(?s).+?(?:[.!?][ \t]+|\n+|$)') as p from d)
 ), u as materialized (
-  select doc_id, unit, piece, length(piece) as length,
-         (sum(length(piece)) over (partition by doc_id order by unit) - length(piece))::bigint as start,
-         len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) as words,
-         array_to_string(regexp_extract_all(translate(piece, '{UPPER}', '{LOWER}'),
-                         '[^\x20\x09-\x0D]+'), ' ') as norm
+  select doc_id, (sum(length(piece)) over (partition by doc_id order by unit) - length(piece))::bigint as start,
+         regexp_extract_all(translate(piece, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as words,
+         (sum(len(words)) over (partition by doc_id order by unit) - len(words))::bigint as first_word
   from pieces
 ), o as materialized (
-  select *, first_value(doc_id) over same as keep_doc_id, first_value(start) over same as keep_start
-  from u where words >= {line_dedup.UNIT_WORDS}
-  window same as (partition by norm order by doc_id, start)
-), again as (
-  select *, unit - row_number() over (partition by doc_id order by unit) as run
-  from o where doc_id != keep_doc_id or start != keep_start
-), gone as materialized (
-  select doc_id, unit, start, length, keep_doc_id, keep_start from again
-  qualify sum(words) over (partition by doc_id, run) >= {line_dedup.RUN_WORDS}
-), spans as (
-  select doc_id, count(*) as removed_units, sum(length)::bigint as removed_chars,
-         string_agg(start || '+' || length || '=' || keep_doc_id || ':' || keep_start, ';'
-                    order by start) as removed
-  from gone group by doc_id
+  select doc_id, start, len(words) as n, first_word, first_value(doc_id) over same as keep_doc_id,
+         first_value(start) over same as keep_start, first_value(first_word) over same as keep_first
+  from u where len(words) >= {line_dedup.UNIT_WORDS}
+  window same as (partition by array_to_string(words, ' ') order by doc_id, start)
+), again as (select * from o where doc_id != keep_doc_id or start != keep_start),
+pairs as (
+  select doc_id, keep_doc_id from again group by all having sum(n) >= {line_dedup.SHARED_WORDS}
+), laid as materialized (
+  select doc_id, keep_doc_id, first_word - keep_first as shift, list(distinct first_word) as anchors
+  from again semi join pairs using (doc_id, keep_doc_id) group by all
+), w as materialized (
+  select doc_id, unnest(words) as word, first_word + generate_subscripts(words, 1) - 1 as i from u
+), equal as (
+  select laid.doc_id, keep_doc_id, shift, w.i,
+         w.i - row_number() over (partition by laid.doc_id, keep_doc_id, shift order by w.i) as run
+  from laid join w on w.doc_id = laid.doc_id
+  join w k on k.doc_id = keep_doc_id and k.i = w.i - shift and k.word = w.word
+), runs as (
+  select doc_id, keep_doc_id, shift, min(i) as lo, max(i) as hi from equal
+  group by doc_id, keep_doc_id, shift, run having count(*) >= {line_dedup.PASSAGE_WORDS}
+), held as (
+  select r.* from runs r join laid using (doc_id, keep_doc_id, shift)
+  where len(list_filter(anchors, lambda a: a between lo and hi)) > 0
+), placed as materialized (
+  select doc_id, list_transform(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+'),
+           lambda x: length(x)) as steps,
+         list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: length(x)) as sizes
+  from d semi join (select doc_id from held union select keep_doc_id from held) using (doc_id)
+), each_word as (
+  select doc_id, generate_subscripts(sizes, 1) - 1 as i, unnest(sizes) as size, unnest(steps) as step
+  from placed
+), ends as (
+  select doc_id, i, size, sum(step) over (partition by doc_id order by i) as stop from each_word
+), edges as materialized (select doc_id, i, (stop - size)::bigint as start, stop::bigint as stop from ends),
+spans as materialized (
+  select h.doc_id, a.start, b.stop - a.start as length, keep_doc_id, k.start as keep_start
+  from held h join edges a on a.doc_id = h.doc_id and a.i = lo
+  join edges b on b.doc_id = h.doc_id and b.i = hi
+  join edges k on k.doc_id = keep_doc_id and k.i = lo - shift
+), told as (
+  select doc_id, count(*) as removed_units, string_agg(start || '+' || length || '=' || keep_doc_id || ':'
+         || keep_start, ';' order by start, length, keep_doc_id, keep_start) as removed
+  from spans group by doc_id
+), bounds as (
+  select doc_id, start, max(start + length) over (partition by doc_id order by start, length
+           rows between unbounded preceding and 1 preceding) as before,
+         max(start + length) over (partition by doc_id) as upto
+  from spans
+), left_over as (
+  select doc_id, text[coalesce(before, 0) + 1 : start] as part, start from bounds join d using (doc_id)
+  where start > coalesce(before, 0)
+  union all select distinct doc_id, text[upto + 1 :], 9223372036854775807 from bounds join d using (doc_id)
 ), clean as (
-  select doc_id, string_agg(piece, '' order by unit) as clean_text
-  from pieces left join gone using (doc_id, unit) where gone.start is null group by doc_id
+  select doc_id, string_agg(part, '' order by start) as clean_text from left_over group by doc_id
 )
 select doc_id, coalesce(removed_units, 0)::int as removed_units,
-       coalesce(removed_chars, 0) as removed_chars, coalesce(removed, '') as removed,
-       case when text is not null then coalesce(clean_text, '') end as clean_text
-from documents left join spans using (doc_id) left join clean using (doc_id)
+       coalesce(length(text) - length(clean_text), 0) as removed_chars, coalesce(removed, '') as removed,
+       case when removed is null then text else clean_text end as clean_text
+from documents left join told using (doc_id) left join clean using (doc_id)
 """
 
+
 def op11_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4)
     return found.select(

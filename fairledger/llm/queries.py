@@ -348,8 +348,8 @@ c as materialized (
   select c.lang, c.size, c.phrase, a, k, x.n as l, y.n as r,
          (1000000::hugeint * a * a // (x.n::hugeint * y.n))::bigint as score
   from c, unnest(range(1, size)) u(k)
-  join f x on x.lang = c.lang and x.phrase = array_to_string(v[1 : k], ' ')
-  join f y on y.lang = c.lang and y.phrase = array_to_string(v[k + 1 : size], ' ')
+  join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(v, 1, k), ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(v, k + 1, c.size), ' ')
 ), scored as (
   select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
 ), around as (

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairledger.llm.common import mix, texts
+from fairledger.llm.common import mix, slices, texts
 from fairledger.plans.staging import stage
 
 LEAST = 10
@@ -135,7 +135,7 @@ def phrases(ids: np.ndarray, depth: int, keep):
 def _shards(batches, shard_words: int):
     """(ids by word, {language: sequences of ids}) of each shard of an input partition."""
     ids, found, words = _Ids(), {}, 0
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch["lang"].to_pylist(), texts(batch["text"])):
             parts = tokens(text)
             found.setdefault(lang, []).append(

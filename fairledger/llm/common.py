@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a written table that may be broadcast, of 16 to 24 bytes each; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch that are turned into Python objects at once.
+SLICE = 4 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,12 +53,20 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `SLICE` bytes, so that Python holds few texts at once."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def in_arrow(
     df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
-    """`mapInArrow` for a function of one batch."""
+    """`mapInArrow` for a function of one batch, which is called for slices of `SLICE` bytes."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield from make(batch)
 
     return df.mapInArrow(run, schema)

@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fairledger.llm.common import BROADCAST_ROWS, in_arrow, keep_ids, mix, shingles, texts
+from fairledger.llm.common import (
+    BROADCAST_ROWS, in_arrow, keep_ids, mix, shingles, slices, texts,
+)
 from fairledger.llm.components import components
 from fairledger.plans.staging import stage
 
 GROWTH = 1.6
 #: Signatures of an input partition that are grouped at once.
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 #: Sets of a family up to which all pairs that share a signature are verified.
 SMALL = 64
 
@@ -178,7 +180,7 @@ def _index(width: int, num: int, den: int):
 
     def run(batches):
         parts, held, seen, lows = [], 0, set(), _bands(num, den, 64)
-        for batch in batches:
+        for batch in slices(batches):
             for body in texts(batch["text"]):
                 elements = shingles(_words(body), width)
                 if not len(elements):
@@ -414,47 +416,37 @@ def without_near_copies(
     """The rows of `docs` with one row of each group of linked ones, and all without n-grams.
 
     A row is known by its id and its set of n-grams, so other rows of its id have their own verdict.
-    The row of smallest id and set stays, of equal ones the one whose columns come first in order.
-    Rows without id are compared among themselves in the same way: of a group one of them stays.
+    The row of smallest id and set stays, rows without id come last; of rows that agree in both the
+    one whose text and other columns come first in order. Columns may have any name and type.
     """
     joined = _joined(docs, width, similarity, id, text).where("_part is not null")
-    named = joined.where("doc_id is not null").select("doc_id", "sid", "_part")
-    first = stage(named.groupBy("_part").agg(F.min(F.struct("doc_id", "sid")).alias("_first")))
-    gone = stage(named.join(first, "_part").where(
-        "doc_id != _first.doc_id or sid != _first.sid").select("doc_id", "sid").distinct())
-    twice = stage(named.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("_rows"))
-                  .where("_rows > 1").select("doc_id", "sid"))
-    at = docs.columns.index(text)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid")
+    first = stage(joined.groupBy("_part").agg(F.min(rank).alias("_first")))
+    gone = stage(joined.join(first, "_part").where(rank != F.col("_first")).select("doc_id", "sid").distinct())
+    twice = stage(joined.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "doc_id", "sid"))
 
     def with_sid(batch):
-        sets = [shingles(_words(t), width) for t in texts(batch.column(at))]
-        yield batch.append_column(
-            "_sid", pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()))
+        sets = [shingles(_words(t), width) for t in texts(batch["text"])]
+        sids = pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], sids], names=["row", "doc_id", "sid"])
 
-    keyed = in_arrow(docs, StructType([*docs.schema, StructField("_sid", LongType())]), with_sid)
-    one = F.min(F.struct(*docs.columns)).alias("_row")
+    # the columns of a row travel in one, so none of their names meets one of these
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keyed = in_arrow(rows, StructType([rows.schema["row"], rows.schema["doc_id"], StructField("sid", LongType())]),
+                     with_sid)
 
-    def among(rows, ids, how):
+    def among(some, ids, how):
         if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
         ids = ids.toDF("_id", "_set")
-        return rows.join(
-            ids, (rows[id].cast("long") == ids["_id"]) & (rows["_sid"] == ids["_set"]), how)
-
-    left = among(keyed.where(F.col(id).isNotNull()), gone, "left_anti")
-    if twice.isEmpty():
-        out = left.select(*docs.columns)
-    else:
-        out = among(left, twice, "left_anti").select(*docs.columns).unionByName(
-            among(left, twice, "left_semi").groupBy(id, "_sid").agg(one).select("_row.*"))
-    nameless = joined.where("doc_id is null")
-    if not nameless.isEmpty():
-        blank = keyed.where(F.col(id).isNull())
-        parts = stage(nameless.select(F.col("sid").alias("_sid"), "_part").distinct())
-        out = out.unionByName(
-            blank.where("_sid is not null").groupBy("_sid").agg(one).join(parts, "_sid")
-            .groupBy("_part").agg(F.min("_row").alias("_row")).select("_row.*")
-        ).unionByName(blank.where("_sid is null").select(*docs.columns))
-    else:
-        out = out.unionByName(docs.where(F.col(id).isNull()))
-    return out
+        return some.join(ids, some["doc_id"].eqNullSafe(ids["_id"]) & (some["sid"] == ids["_set"]), how)
+
+    left = among(keyed, gone, "left_anti")
+    if not twice.isEmpty():
+        order = F.struct(F.col("row").getField(text), F.to_json(F.struct("row")))
+        left = among(left, twice, "left_anti").select("row").unionByName(
+            among(left, twice, "left_semi").groupBy("doc_id", "sid").agg(F.min_by("row", order).alias("row"))
+            .select("row"))
+    return left.select("row.*")

@@ -88,9 +88,10 @@ def plan(
 
 def mix(
     docs: DataFrame, block_words: int = BLOCK_WORDS, repeats: int = REPEATS, shards: int = SHARDS,
-    seed: int = 0, id: str = "doc_id", text: str = "text", source: str = "source",
+    seed: int = 0, id: str = "doc_id", text: str = "text", source: str = "source", key: str | None = None,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, blocks, taken, first_shard.
+    """One row per row of `docs`: doc_id, source, size, source_size, target, blocks, taken, first_shard,
+    and row, which is the column `key` if one is named.
 
     `taken` counts the words that the mix takes of the document, repetitions included, and
     `first_shard` is the shard of its first taken word (null if none is taken). Null and empty texts
@@ -102,7 +103,8 @@ def mix(
     """
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     rows = stage(docs.select(
-        F.col(id).alias("doc_id"), F.col(source).alias("source"), words.alias("size")
+        F.col(id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"),
+        (F.lit(None) if key is None else F.col(key)).cast("long").alias("row"),
     ).withColumn("_rank", F.md5(F.concat_ws(
         ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size",
     ))).withColumn("_slab", F.substring("_rank", 1, 3)).withColumn(
@@ -144,8 +146,28 @@ def mix(
          for k in range(repeats)), F.lit(0))
     block = F.floor(F.col("_start") / block_words)
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "blocks",
+        *([] if key is None else ["row"]), "doc_id", "source", "size", "source_size", "target", "blocks",
         taken.cast("long").alias("taken"),
         F.when(taken > 0, F.size(F.filter("quotas", lambda q: q <= block))).cast("int").alias(
             "first_shard"),
     )
+
+
+def mixed_rows(
+    docs: DataFrame, seed: int = 0, id: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it.
+
+    What is taken of a row is rounded to whole ones, so that only the first and last row of a source
+    in the mix differ from the words taken. Rows without words have no part in the targets and
+    stay once. Each row has its own share, whatever ids and texts others have; columns may have any
+    name and type.
+    """
+    # one column holds those of a row, so none of their names meets one of these
+    rows = stage(docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(id).alias("doc_id"), F.col(text).alias("text"),
+        F.col(source).alias("source"), F.monotonically_increasing_id().alias("row")))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    taken = mix(rows, seed=seed, key="row").select("row", times.alias("times")).where("times > 0")
+    return rows.select("row", "doc").join(taken, "row").withColumn(
+        "copy", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc.*")

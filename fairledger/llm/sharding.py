@@ -89,19 +89,25 @@ def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
 
 def shard(
     docs: DataFrame, shards: int = 16, seed: int = 0, id: str = "doc_id", text: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, size, text_crc32, row_number, shard, slot.
 
+    `whole` adds the other columns of `docs`, which is then a written table; of two columns of one
+    name the one listed here counts.
+
     Row numbers follow id, size and checksum. Null texts have size 1 and the checksum of no bytes,
     null ids are numbered like others, repeated rows get different slots, an empty table gives
     none, other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = stage(docs.select(
+    rows = docs.select(
         F.col(id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-    ))
+        *([F.struct(*docs.columns).alias("doc")] if whole else []),
+    )
+    rows = rows if whole else stage(rows)
     n = rows.count()
 
     @F.pandas_udf("long")
@@ -110,8 +116,7 @@ def shard(
 
     placed = numbered(rows, ["doc_id", "size", "text_crc32"], "row_number").withColumn(
         "_p", shuffled("row_number"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", "row_number",
-        F.pmod("_p", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("_p") / shards).cast("long").alias("slot"),
-    )
+    own = ["doc_id", "size", "text_crc32", "row_number", "shard", "slot"]
+    return placed.withColumn("shard", F.pmod("_p", F.lit(shards)).cast("int")).withColumn(
+        "slot", F.floor(F.col("_p") / shards).cast("long")
+    ).select(*own, *[F.col("doc").getField(c).alias(c) for c in docs.columns if whole and c not in own])

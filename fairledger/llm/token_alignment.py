@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairledger.llm.common import BROADCAST_ROWS, texts
+from fairledger.llm.common import BROADCAST_ROWS, slices, texts
 from fairledger.plans.staging import stage
 
 #: Bytes of text whose matrices are held at once.
@@ -279,7 +279,7 @@ def alignments(
     """
     def make(batches):
         aligner = _Aligner(a, b)
-        for batch in batches:
+        for batch in slices(batches):
             done, ids = 0, batch["doc_id"]
             for count, places, starts, run in aligner.runs(texts(batch["text"])):
                 yield _row_batch(aligner, ids.slice(done, count), count, places, starts, run)
@@ -339,7 +339,7 @@ def token_links(
 
     def make(batches):
         aligner = _Aligner(a, b)
-        for batch in batches:
+        for batch in slices(batches):
             done, ids = 0, batch["doc_id"]
             for count, places, starts, run in aligner.runs(texts(batch["text"])):
                 for x, y, shared in run.overlaps():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairledger.llm import decontam, jaccard_join, mixing, sharding, toxicity
 from fairledger.llm.common import shingles
+from fairledger.plans.staging import folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -105,10 +106,10 @@ def test_odd_rows_in_every_stage(spark, make_docs, small, stage):
     assert make(spark, make_docs([]), small).count() == 0
 
 
-def test_near_copies_keep_rows_without_id(spark, make_docs, small):
+def test_near_copies_with_and_without_id_are_one_group(spark, make_docs, small):
     text = "this text of eight words is there twice"
     got = P.near_copies_out(spark, make_docs([(None, text), (7, text), (8, text)]), small)
-    assert sorted((r.doc_id for r in got.collect()), key=repr) == [7, None]
+    assert [r.doc_id for r in got.collect()] == [7]
     sizes = jaccard_join.near_duplicates(make_docs([(7, text)])).select(F.col("n_shingles")).first()
     assert sizes[0] == 4
 
@@ -132,3 +133,35 @@ def test_one_row_of_near_copies_stays(spark, make_docs, small):
     got = P.near_copies_out(spark, make_docs(rows), small).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(
         [(3, y), (5, x), (None, z), (None, None), (None, "")], key=repr)
+
+
+def test_rows_alike_have_their_own_share(spark, make_docs, small):
+    rows = [(None, " ".join(f"t{k}w{i}" for i in range(64)), "a") for k in range(100)]
+    rows += [(None, "same words here", "b")] * 300 + [(k, "some other words of c " * 9, "c") for k in range(90)]
+    docs = make_docs(rows)
+    got = P.mixed(spark, docs, small).groupBy("source").agg(
+        F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("words")).collect()
+    want = {r.source: (r.target, r.size) for r in mixing.mix(docs, seed=P.MIX_SEED).collect()}
+    assert {r.source for r in got} == set(want)
+    for r in got:
+        target, longest = want[r.source]
+        assert abs(r.words - target) <= mixing.BLOCK_WORDS + longest
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_columns_of_any_name_and_type(spark, small, stage):
+    names = ("_sid sid _id _times _size _source _part _row row rows doc copy times n key _key size shard slot"
+             " _bucket _p _offset look cell").split()
+    texts = ["they hurt and kill you. they kill you!", "a clean text of some words", "a clean text of some words", None]
+    df = spark.createDataFrame(
+        [(k, t, "en", "s", 1, {"m": k}, [k]) for k, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long, tags map<string,long>, list array<long>")
+    df = df.select("*", *[F.lit("x").alias(n) for n in names])
+    path = f"{folder(spark)}/odd-{stage}"
+    df.write.mode("overwrite").parquet(path)
+    docs = spark.read.parquet(path)
+    out = P.STAGES[stage][1](spark, docs, small)
+    rows = out.collect()
+    assert set(docs.columns) <= set(out.columns) and (stage == 4 or out.columns == docs.columns)
+    assert all(r.tags == {"m": r.doc_id} and r["_sid"] == "x" for r in rows)
+    assert sorted(r.doc_id for r in rows) == {0: [1, 2, 3], 1: [0, 1, 3]}.get(stage, sorted(r.doc_id for r in rows))

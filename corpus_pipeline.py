@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next one's documents. Stages read only doc_id, text and source of the documents and pass on their
-other columns. Toxicity, n-gram join and decontamination decide for each row by its own text, whether
-its doc_id is null or repeated. Of a group of near copies one row with an id and one without stay. In
-the mix rows without doc_id are one document for each text and source.
+other columns, whatever their names and types. Each decides for each row by its own text, whether
+its doc_id is null or repeated. Of a group of near copies one row stays. The last stage adds size,
+checksum, row number, shard and slot.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fairledger.llm import decontam, jaccard_join, mixing, sharding, toxicity
-from fairledger.plans.staging import folder, stage
+from fairledger.plans.staging import folder
 
 SHARDS, MIX_SEED, SHARD_SEED = 16, 17, 29
 NGRAM, SIMILARITY, CONTAINMENT = 5, (4, 5), (4, 5)
@@ -32,7 +31,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row of the smallest id stays, and one of those without id."""
+    """Of each group of near copies the row of the smallest id stays, or one of those without id."""
     return jaccard_join.without_near_copies(docs, NGRAM, SIMILARITY)
 
 
@@ -42,32 +41,13 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them.
-
-    The words taken of a document, in whole documents: rounded, so that only the last document of
-    a source in the mix differs from the words taken. Documents without words have no part in the
-    targets and stay once.
-    """
-    taken = mixing.mix(docs, seed=MIX_SEED).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast(
-            "int").alias("_times"),
-    )
-    # rows that agree in id, source and size have one share of all that the mix takes of them
-    shares = stage(taken.groupBy("_id", "_source", "_size").agg(
-        F.round(F.avg("_times")).cast("int").alias("_times")))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (size == F.col("_size"))
-    )
-    return docs.join(shares, on).withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    """Documents as often as the mix takes them, in whole documents."""
+    return mixing.mixed_rows(docs, seed=MIX_SEED)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row."""
-    return sharding.shard(docs, SHARDS, SHARD_SEED)
+    """Shard and slot of each row, with the columns of documents."""
+    return sharding.shard(docs, SHARDS, SHARD_SEED, whole=True)
 
 
 STAGES = [

@@ -64,14 +64,17 @@ def encoding_of(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("windows-1252")
 
 
-def decode(content: Column, encoding: Column) -> Column:
-    """Text without byte order mark."""
+def raw_text(content: Column, encoding: Column) -> Column:
     latin = F.decode(content, "ISO-8859-1")
     high = "".join(chr(c) for c in range(0x80, 0xA0))
-    text = F.when(encoding == "UTF-8", content.cast("string")).otherwise(
+    return F.when(encoding == "UTF-8", content.cast("string")).otherwise(
         F.translate(latin, high, CP1252)
     )
-    return F.regexp_replace(text, r"\A\ufeff", "")
+
+
+def decode(content: Column, encoding: Column) -> Column:
+    """Text without byte order mark."""
+    return F.regexp_replace(raw_text(content, encoding), r"\A\ufeff", "")
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -143,6 +146,45 @@ def split_records(text: Column, delimiter: Column) -> Column:
     return F.filter(F.split(marked, RECORD_END), lambda r: r != "")
 
 
+def mark_fields(record: Column, delimiter: Column) -> Column:
+    """One record with field ends and stray quotes marked, as `split_records` gives it."""
+    pieces = F.split(_marked_strays(record, delimiter), '"')
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(
+        i % 2 == 0, F.replace(p, delimiter, F.lit(FIELD_END))).otherwise(p)), '"')
+
+
+def quotes_of(text: Column, delimiter: Column) -> Column:
+    """How many quotes open or close a field, or stand beside another."""
+    return _occurrences(_marked_strays(text, delimiter), F.lit('"'))
+
+
+def judged(record: Column) -> Column:
+    """struct(r, w, bad): a record with marked fields, its width, and whether its quotes are misplaced."""
+    bad = F.contains(record, F.lit(STRAY)) | F.exists(F.split(record, FIELD_END), _bad_quotes)
+    return F.struct(record.alias("r"), _width(record).alias("w"), bad.alias("bad"))
+
+
+def column_names(header: Column) -> Column:
+    """Names of the fields of a header, by their place where they are blank."""
+    return F.transform(header, lambda n, i: F.coalesce(
+        F.nullif(js_trim(n), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
+
+
+def default_names(width: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("column_"), i.cast("string")))
+
+
+def shown(record: Column, delimiter: Column) -> Column:
+    """A marked record as it stood in the file."""
+    return F.replace(F.replace(record, F.lit(FIELD_END), delimiter), F.lit(STRAY), F.lit('"'))
+
+
+def reason_of(bad: Column, width: Column, found: Column) -> Column:
+    return F.when(bad, BAD_QUOTES).otherwise(F.concat(
+        F.lit("Expected "), width.cast("string"), F.lit(" field(s), found "), found.cast("string")))
+
+
 def _width(record: Column) -> Column:
     return _occurrences(record, F.lit(FIELD_END)) + 1
 
@@ -224,10 +266,6 @@ def parse(
         "text", F.when(F.col("readable"), decode(F.col("content"), F.col("detected_encoding")))
     )
 
-    def record(r: Column) -> Column:
-        bad = F.contains(r, F.lit(STRAY)) | F.exists(F.split(r, FIELD_END), _bad_quotes)
-        return F.struct(r.alias("r"), _width(r).alias("w"), bad.alias("bad"))
-
     good = F.filter("records", lambda x: ~x["bad"])
     cut = (
         decoded.withColumn(
@@ -236,7 +274,7 @@ def parse(
         )
         .withColumn(
             "records",
-            F.transform(split_records(F.col("text"), F.col("detected_delimiter")), record),
+            F.transform(split_records(F.col("text"), F.col("detected_delimiter")), judged),
         )
         .withColumn("width", _mode(F.transform(good, lambda x: x["w"]))["v"])
         .withColumn("accepted", F.transform(
@@ -291,15 +329,7 @@ def _split_up(parsed: DataFrame) -> Ingested:
         *VERSION, (F.col("pos") + 1).cast("long").alias("row_number"),
         fields_of(F.col("record")).alias("fields"),
     )
-    default = F.transform(
-        F.sequence(F.lit(1), F.col("width")), lambda i: F.concat(F.lit("column_"), i.cast("string"))
-    )
-    names = F.transform(
-        fields_of(F.get(fits, F.lit(0))),
-        lambda n, i: F.coalesce(
-            F.nullif(js_trim(n), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))
-        ),
-    )
+    default, names = default_names(F.col("width")), column_names(fields_of(F.get(fits, F.lit(0))))
     columns = good.where(F.col("width") > 0).select(
         *VERSION,
         F.posexplode(F.when(F.col("has_header"), names).otherwise(default)).alias(
@@ -317,13 +347,8 @@ def _split_up(parsed: DataFrame) -> Ingested:
         *VERSION, "width", "detected_delimiter", F.explode(refused).alias("x")
     ).select(
         *VERSION, "x.row_number",
-        F.replace(
-            F.replace("x.r", F.lit(FIELD_END), F.col("detected_delimiter")), F.lit(STRAY), F.lit('"')
-        ).alias("raw_content"),
-        F.when(F.col("x.bad"), BAD_QUOTES).otherwise(F.concat(
-            F.lit("Expected "), F.col("width").cast("string"), F.lit(" field(s), found "),
-            F.col("x.w").cast("string"),
-        )).alias("reason"),
+        shown(F.col("x.r"), F.col("detected_delimiter")).alias("raw_content"),
+        reason_of(F.col("x.bad"), F.col("width"), F.col("x.w")).alias("reason"),
     )
     return Ingested(runs_of(parsed), columns, rows, rejected)
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from catalog.datasets import BLANKS, CLASS, read, spread
 from fairledger.operators.cells import value_counts
+from fairledger.functions.text import js_trim
 from fairledger.operators.profile import column_facts
 from fairledger.plans.staging import folder, stage
-from fairledger.sources import delimited, landing
+from fairledger.scope import VERSION
+from fairledger.sources import delimited, landing, ranges
 from fairledger.streaming import landing as stream
 
 #: Bounds of the one query that shows them; all others read everything.
@@ -152,7 +154,26 @@ def landing_stream(spark, sf):
     )
 
 
+def ranged_rows(spark, sf):
+    """Documents written as files of quoted texts, line ends and all, and cut into records in ranges."""
+    path = f"{folder(spark)}/large-{uuid.uuid4().hex}"
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    read(spark, sf, "documents").select(
+        F.concat_ws(",", F.concat(F.lit("d"), "doc_id"), quoted)).write.text(path)
+    large = ranges.listed(spark, f"{path}/part-*").select(
+        F.lit("acme").alias("tenant_id"), F.lit("inbox").alias("project_id"),
+        F.col("filename").alias("dataset_version_id"), "path",
+        F.concat("filename", F.lit(".csv")).alias("filename"), "length")
+    # both columns are texts, so the first record counts as a header: it names its columns
+    done = ranges.ingest(large)
+    named = done.columns.groupBy(*VERSION).agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", "column_name")))["column_name"].alias("fields"))
+    return done.rows.select("fields").unionByName(named.select("fields")).select(
+        F.col("fields")[0].alias("id"), F.md5(js_trim(F.col("fields")[1])).alias("text_md5"))
+
+
 QUERIES = {f.__name__: f for f in (
+    ranged_rows,
     delimiter_detect, charset_decode, ingestion_runs, ingestion_guards, ragged_rows, ingested_rows, header_columns,
     ingested_types, rejected_report, checksum_landing, landing_stream,
 )}
@@ -234,6 +255,8 @@ rejected as (select {ID}, nth as row_number,
 """
 
 ORACLES = {
+    "ranged_rows": "select concat('d', doc_id) as id, md5(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')) "
+    "as text_md5 from documents",
     "landing_stream": "select 'nation=' || s_nationkey as dataset_name, cast(1 as bigint) as "
     "version_number, count(*) as row_count, cast(4 as bigint) as column_count from supplier "
     "group by s_nationkey",

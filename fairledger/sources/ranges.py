@@ -28,7 +28,7 @@ AT = ["path", "range"]
 
 
 def listed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, filename, length) of all files; no content is read."""
+    """(path, filename, length) of all files that have content, which is not read; Spark lists no others."""
     name = F.element_at(F.split("path", "/"), -1).alias("filename")
     return spark.read.format("binaryFile").load(paths).select("path", name, "length")
 

@@ -75,7 +75,7 @@ def test_a_lone_carriage_return_is_refused(spark, tmp_path):
 
 
 def test_no_files(spark, tmp_path):
-    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "blank.csv").write_bytes(b"\n\r\n")
     files = versions(ranges.listed(spark, str(tmp_path)))
     assert ranges.ingest(files).runs.first()["row_count"] == 0
     none = ranges.ingest(files.where("filename = 'x'"))

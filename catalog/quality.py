@@ -27,7 +27,7 @@ def cells_melt(spark, sf):
 
 
 def classify_votes(spark, sf):
-    facts = profile.column_facts(value_counts(D.rows(spark, sf)))
+    facts = profile.column_votes(D.rows(spark, sf))
     return facts.select(
         *COLUMN, "filled", *[f"n_{t}" for t in
                              ("integer", "decimal", "boolean", "date", "string")]
@@ -35,7 +35,7 @@ def classify_votes(spark, sf):
 
 
 def majority_type(spark, sf):
-    return profile.column_facts(value_counts(D.rows(spark, sf))).select(*COLUMN, "inferred_type")
+    return profile.column_votes(D.rows(spark, sf)).select(*COLUMN, "inferred_type")
 
 
 def field_profile(spark, sf):
@@ -71,16 +71,16 @@ def _anomaly(*checks):
 
 
 def quartile_fences(spark, sf):
-    rows = stage(D.rows(spark, sf))
-    found = anomalies.fences(rows, stage(profile.column_facts(value_counts(rows))))
+    counts = stage(value_counts(D.rows(spark, sf)))
+    found = anomalies.fences(counts, stage(profile.column_facts(counts)))
     return found.select(
         *COLUMN, "n", *_rounded(["q1", "q3", "lower_fence", "upper_fence"])
     )
 
 
 def dominant_shape(spark, sf):
-    facts = profile.column_facts(value_counts(D.rows(spark, sf)))
-    return anomalies.dominant_shapes(facts).select(*COLUMN, "dominant_shape", *_rounded(["share"]))
+    rows = D.rows(spark, sf)
+    return anomalies.dominant_shapes(rows, profile.column_facts(value_counts(rows))).select(*COLUMN, "dominant_shape", *_rounded(["share"]))
 
 
 # Two rounds of answers about columns; some are unknown labels, and one round is later.
@@ -126,22 +126,23 @@ def anomaly_count(spark, sf):
 
 
 def semantic_type(spark, sf):
-    facts = profile.column_facts(value_counts(D.rows(spark, sf)))
-    return semantics.infer(D.columns(spark), facts).select(
+    return semantics.infer(D.columns(spark), profile.column_votes(D.rows(spark, sf))).select(
         *COLUMN, "column_name", "inferred_type", "semantic_type"
     )
 
 
 def shape_sample(spark, sf):
-    return semantics.shape_samples(value_counts(D.rows(spark, sf))).select(
+    rows = D.rows(spark, sf)
+    return semantics.shape_samples(rows, value_counts(rows)).select(
         "dataset_version_id", "col_idx", "ordinal", "shape"
     )
 
 
 def column_queue(spark, sf):
-    counts = value_counts(D.rows(spark, sf))
+    rows = D.rows(spark, sf)
+    counts = stage(value_counts(rows))
     typed = semantics.infer(D.columns(spark), profile.column_facts(counts))
-    return semantics.review_queue(typed, semantics.shape_samples(counts)).select(
+    return semantics.review_queue(typed, semantics.shape_samples(rows, counts)).select(
         "dataset_version_id", "col_idx", "column_name", "inferred_type",
         F.array_join("sample_shapes", "\n").alias("sample_shapes"),
     )

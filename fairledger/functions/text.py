@@ -87,13 +87,17 @@ def is_sentinel(v: Column) -> Column:
 def to_number(v: Column) -> Column:
     """Finite number from trimmed text, with or without exponent; else null.
 
-    The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`.
+    The pattern gates the cast because Spark also reads `1d`, `NaN` and `Infinity`. It gates the
+    text that is cast, not the result: Spark works out a repeated expression ahead of the conditions
+    around it, and a cast of other text costs an exception.
     """
-    number = v.try_cast("double")
-    return F.when(
-        F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER)
-        & F.abs(number).between(0.0, K.LARGEST_NUMBER), number
-    )
+    return finite(F.when(F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER), v))
+
+
+def finite(text: Column) -> Column:
+    """Number of a text known to be one, or null; null also beyond the largest double."""
+    number = text.try_cast("double")
+    return F.when(F.abs(number) <= K.LARGEST_NUMBER, number)
 
 
 def collapse_blanks(c: Column) -> Column:

@@ -9,10 +9,15 @@ number of datasets of any width, so one job handles them all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairledger.functions.text import js_trim
+from fairledger.functions import fixed as K
+from fairledger.functions.text import (
+    classify_trimmed, finite, is_sentinel, js_trim, shape, strict_form, to_number,
+)
 from fairledger.scope import VERSION
 
 
@@ -62,15 +67,132 @@ def cells(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What is known of one value, a bit of `marks` each, in this order.
+MARKS = (
+    ["filled"] + [f"n_{t}" for t in K.TYPES]
+    + ["strict", "n_sentinel", "m_email", "m_url", "m_currency", "m_country", "m_phone", "m_percent"]
+)
+
+
+def _bit(*marks: str) -> int:
+    return sum(1 << MARKS.index(m) for m in marks)
+
+
+def _marks(v: Column, class_: Column, number: Column) -> Column:
+    """The facts about one trimmed value; a cheap test comes before each pattern.
+
+    What excludes each other shares one chain: generated code that is too long is never compiled.
+    """
+    bare = js_trim(F.regexp_replace(v, r"\A([^%]*)%", "$1"))  # without its first percent sign
+    percent = F.coalesce(F.abs(to_number(bare) - 50) <= 50, bare == "")
+    digits = F.length(v) - F.length(F.translate(v, "0123456789", ""))
+    phone = F.substring(v, 1, 1).between("(", "9") & F.length(v).between(7, 20)
+    type_, strict = F, F
+    for t in K.TYPES[:-1]:
+        type_ = type_.when(class_ == t, _bit("filled", f"n_{t}"))
+        strict = strict.when(class_ == t, strict_form(v, t))
+    terms = [
+        type_.when(v != "", _bit("filled", "n_string")).otherwise(0),
+        F.when(strict.otherwise(False), _bit("strict")).otherwise(0),
+        F.when(is_sentinel(v), _bit("n_sentinel")).otherwise(0),
+        F.when(v.contains("@") & v.rlike(K.EMAIL), _bit("m_email")).otherwise(0),
+        F.when(v.isin(K.CURRENCY_CODES), _bit("m_currency"))
+        .when(v.isin(K.COUNTRY_CODES), _bit("m_country"))
+        .when(phone & (digits >= 7) & v.rlike(K.PHONE), _bit("m_phone"))
+        .when((F.lower(F.substring(v, 1, 4)) == "http") & v.rlike(K.URL), _bit("m_url"))
+        .otherwise(0),
+        F.when(F.when(v.contains("%"), percent).otherwise(number.between(0.0, 100.0)),
+               _bit("m_percent")).otherwise(0),
+    ]
+    return reduce(Column.bitwiseOR, terms)
+
+
+def has(*marks: str) -> Column:
+    """Are all of these facts true of the value?"""
+    bits = _bit(*marks)
+    return F.col("marks").bitwiseAND(F.lit(bits)) == bits
+
+
+def _number(v: Column, class_: Column) -> Column:
+    """As `to_number`, without its pattern where the class has settled what it would find."""
+    other = (class_ == "string") & F.substring(v, 1, 1).between("+", "9") & v.rlike(K.NUMBER)
+    return finite(F.when(class_.isin("integer", "decimal") | other, v))
+
+
+def _shape(v: Column, class_: Column) -> Column:
+    """As `shape`, without its pattern where the class has settled the outcome."""
+    sign = F.when(v.startswith("-"), "-").otherwise("")
+    return (
+        F.when(class_ == "integer", F.concat(sign, F.lit("A")))
+        .when(class_ == "decimal", F.concat(sign, F.lit("A.A")))
+        .when(class_ == "boolean", "A")
+        .otherwise(shape(v))
+    )
+
+
+HUGE = "spark.sql.codegen.hugeMethodLimit"
+
+
+def marked(cell: DataFrame) -> DataFrame:
+    """Cells with `value` (trimmed), its class, its number `x` and its facts as one number, `marks`.
+
+    All facts in one generated method are more than HotSpot compiles (8000 bytes of code), and it
+    would be interpreted. Unless the session names a limit of its own it gets HotSpot's: Spark then
+    generates such steps in smaller methods.
+    """
+    conf = cell.sparkSession.conf
+    if conf.get(HUGE) == "65535":  # Spark's default
+        conf.set(HUGE, "8000")
+    value, class_ = F.col("value"), F.col("class")
+    return (
+        cell.withColumn("value", js_trim(F.col("raw")))
+        .withColumn("class", classify_trimmed(value))
+        .withColumn("x", _number(value, class_))
+        .withColumn("marks", _marks(value, class_, F.col("x")))
+    )
+
+
+def digest(c: Column) -> list[Column]:
+    """128 bits of a text as two longs, which grouping keeps in place at a fixed width."""
+    return [F.xxhash64(c), F.xxhash64(F.lit("second half"), c)]
+
+
 def value_counts(rows: DataFrame) -> DataFrame:
-    """Cells grouped by trimmed value.
+    """Cells grouped by the digest (d1, d2) of their trimmed value.
 
-    Counting before classifying means that the patterns run once per distinct value and that a
-    constant column costs one row per task in the shuffle.
+    No text leaves a task, however long the values are: a group carries the facts about its value
+    (`marks`), the digest of its shape (s1, s2) and the number it stands for (x), all of fixed
+    width. `first_row` is where the value can be looked up (`values_at`).
     """
-    trimmed = cells(rows).withColumn("value", js_trim(F.col("raw")))
-    return trimmed.groupBy(*VERSION, "col_idx", "value").agg(
+    cell = marked(cells(rows))
+    d1, d2 = digest(F.col("value"))
+    s1, s2 = digest(F.col("shape"))
+    known = cell.withColumn("shape", _shape(F.col("value"), F.col("class"))).select(
+        *VERSION, "row_number", "col_idx", "marks", d1.alias("d1"), d2.alias("d2"),
+        s1.alias("s1"), s2.alias("s2"), "x",
+        (F.col("raw") == F.col("value")).alias("untouched"),
+    )
+    return known.groupBy(*VERSION, "col_idx", "d1", "d2").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("raw") == F.col("value")).alias("n_untouched"),
+        F.count_if("untouched").alias("n_untouched"),
         F.min("row_number").alias("first_row"),
+        *[F.min(c).alias(c) for c in ("marks", "s1", "s2", "x")],
+    )
+
+
+def values_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (column, first_row, digest s1 and s2 of a shape) with `value` looked up in the rows.
+
+    `wanted` is small beside the rows: pass a staged table, so that Spark knows its size.
+    """
+    s1, s2 = digest(shape(F.col("value")))
+    number = F.col("row_number") == F.col("first_row")
+    keep = [F.col(f"w.{c}") for c in wanted.columns]
+    return (
+        rows.alias("r").join(
+            wanted.alias("w"), reduce(
+                Column.__and__, [F.col(f"r.{c}") == F.col(f"w.{c}") for c in VERSION], number))
+        .select(*keep, js_trim(F.get("fields", F.col("col_idx"))).alias("value"))
+        .where((s1 == F.col("s1")) & (s2 == F.col("s2")))
+        .groupBy(*wanted.columns).agg(F.min("value").alias("value"))
     )

@@ -6,63 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
-from fairledger.functions.text import (
-    classify_trimmed, is_sentinel, js_trim, shape, strict_form, to_number,
-)
-from fairledger.operators.cells import value_counts
+from fairledger.operators.cells import MARKS, cells, has, marked, value_counts
 from fairledger.scope import COLUMN, PROJECT, VERSION
 
 
-def _semantic_flags(v: Column) -> dict[str, Column]:
-    """Does one value look like this semantic type?"""
-    bare = js_trim(F.regexp_replace(v, r"\A([^%]*)%", "$1"))  # without its first percent sign
-    return {
-        "m_email": v.rlike(K.EMAIL),
-        "m_url": v.rlike(K.URL),
-        "m_currency": v.isin(K.CURRENCY_CODES),
-        "m_country": v.isin(K.COUNTRY_CODES),
-        "m_phone": v.rlike(K.PHONE) & (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 7),
-        "m_percent": F.coalesce(F.abs(to_number(bare) - 50) <= 50, bare == ""),
-    }
+COUNTED = {
+    **{m: (m,) for m in MARKS if m != "strict"},
+    **{f"c_{t}": (f"n_{t}", "strict") for t in K.TYPES[:-1]},
+}
+
+
+def _sums() -> list[Column]:
+    """How often each fact holds; conforming text is text without outer blanks."""
+    sums = [F.sum(F.when(has(*m), F.col("n")).otherwise(0)).alias(k) for k, m in COUNTED.items()]
+    return [*sums, F.sum(F.when(has("n_string"), F.col("n_untouched")).otherwise(0)).alias("c_string")]
+
+
+def column_votes(rows: DataFrame) -> DataFrame:
+    """Counts by type and pattern of every column, from cells grouped by their facts alone.
+
+    A column has few combinations of facts, so a task sends a handful of rows for it. What needs
+    no distinct values (types, semantic types) is answered from here.
+    """
+    by_facts = marked(cells(rows)).groupBy(*COLUMN, "marks").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("raw") == F.col("value")).alias("n_untouched"))
+    return by_facts.groupBy(*COLUMN).agg(F.sum("n").alias("row_count"), *_sums()).withColumn(
+        "inferred_type", majority_type())
 
 
 def column_facts(counts: DataFrame) -> DataFrame:
     """All counts that a column's profile, type and semantic type are derived from.
 
-    Two grouping steps: by shape, then by column. Counts a caller does not use are pruned.
+    Two grouping steps over digests: by shape, then by column. Counts a caller does not use are
+    pruned. `dominant_row` is the first row with the commonest shape, of several the earliest.
     """
-    value = F.col("value")
-    flags: dict[str, Column] = {}
-    for t in K.TYPES:
-        flags[f"n_{t}"] = (value != "") & (F.col("class") == t)
-    for t in K.TYPES[:-1]:
-        flags[f"c_{t}"] = (F.col("class") == t) & strict_form(value, t)
-    flags["n_sentinel"] = is_sentinel(value)
-    flags.update(_semantic_flags(value))
-
-    by_shape = (
-        counts.withColumn("class", classify_trimmed(value))
-        .groupBy(*COLUMN, shape(value).alias("shape"))
-        .agg(
-            F.sum("n").alias("shape_n"),
-            F.count(F.lit(1)).alias("shape_distinct"),
-            F.min("first_row").alias("shape_first"),
-            F.sum(F.when(F.col("class") == "string", F.col("n_untouched")).otherwise(0)).alias(
-                "c_string"
-            ),
-            *[F.sum(F.when(f, F.col("n")).otherwise(0)).alias(k) for k, f in flags.items()],
-        )
+    by_shape = counts.groupBy(*COLUMN, "s1", "s2").agg(
+        F.sum("n").alias("shape_n"),
+        F.count(F.lit(1)).alias("shape_distinct"),
+        F.min("first_row").alias("shape_first"),
+        *_sums(),
     )
-    filled = F.col("shape") != ""
-    top = F.max(F.when(filled, F.struct(F.col("shape_n"), F.col("shape"))))
+    filled = F.col("filled") > 0
+    top = F.max(F.when(filled, F.struct(
+        F.col("shape_n"), (-F.col("shape_first")).alias("first"), F.col("s1"), F.col("s2"))))
     facts = by_shape.groupBy(*COLUMN).agg(
         F.sum("shape_n").alias("row_count"),
-        F.sum(F.when(filled, F.col("shape_n")).otherwise(0)).alias("filled"),
         F.sum(F.when(filled, F.col("shape_distinct")).otherwise(0)).alias("distinct_count"),
-        F.sum(F.when(filled, F.col("c_string")).otherwise(0)).alias("c_string"),
-        top.getField("shape").alias("dominant_shape"),
         top.getField("shape_n").alias("dominant_n"),
-        *[F.sum(k).alias(k) for k in flags],
+        (-top.getField("first")).alias("dominant_row"),
+        top.getField("s1").alias("dominant_s1"), top.getField("s2").alias("dominant_s2"),
+        *[F.sum(k).alias(k) for k in [*COUNTED, "c_string"]],
     )
     return facts.withColumn("inferred_type", majority_type())
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
 from fairledger.functions.text import shape
+from fairledger.operators.cells import has, values_at
+from fairledger.plans.staging import stage
 from fairledger.scope import COLUMN
 
 
 def semantic_type(name: Column, inferred: Column) -> Column:
-    """First rule that holds: value patterns, then hints in the name. Needs `column_facts` counts."""
+    """First rule that holds: value patterns, then hints in the name. Needs `column_votes`."""
     low = F.lower(name)
 
     def mostly(flag: str) -> Column:
@@ -44,21 +46,20 @@ def infer(columns: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def shape_samples(counts: DataFrame, limit: int = K.QUEUE_SHAPES) -> DataFrame:
+def shape_samples(rows: DataFrame, counts: DataFrame, limit: int = K.QUEUE_SHAPES) -> DataFrame:
     """The first distinct shapes of each column, in order of first appearance.
 
     `row_number() <= limit` lets Spark drop all but `limit` shapes per column in every task before
-    the shuffle, so a free-text column does not send its shapes to one place.
+    the shuffle, so a free-text column does not send its shapes to one place. Until then shapes are
+    digests; the texts of those that are left are looked up in their first rows.
     """
-    shapes = (
-        counts.where(F.col("value") != "")
-        .groupBy(*COLUMN, shape(F.col("value")).alias("shape"))
-        .agg(F.min("first_row").alias("first_row"))
-    )
-    order = Window.partitionBy(*COLUMN).orderBy("first_row", "shape")
-    return shapes.withColumn("ordinal", F.row_number().over(order)).where(
-        F.col("ordinal") <= limit
-    )
+    shapes = counts.where(has("filled")).groupBy(*COLUMN, "s1", "s2").agg(
+        F.min("first_row").alias("first_row"))
+    order = Window.partitionBy(*COLUMN).orderBy("first_row", "s1", "s2")
+    first = stage(shapes.withColumn("ordinal", F.row_number().over(order)).where(
+        F.col("ordinal") <= limit))
+    return values_at(rows, first).select(
+        *COLUMN, shape(F.col("value")).alias("shape"), "first_row", "ordinal")
 
 
 def review_queue(typed: DataFrame, samples: DataFrame) -> DataFrame:

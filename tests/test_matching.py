@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fairledger.functions.text import trigram_codes
+from fairledger.functions.text import set_similarity, trigram_codes
 from fairledger.operators import (
     audit, decisions, matching, numbering, partners, review, rowrules, suppliers, versions,
 )
@@ -410,3 +410,51 @@ def test_audit_diff(spark):
     assert set(got) == {"2", "4"}
     assert (got["2"]["old_value"], got["2"]["new_value"]) == ('{"name":"b"}', '{"name":"c"}')
     assert got["4"]["action"] == "project.created"
+
+
+def test_signatures_lose_no_similar_pair(spark):
+    from fairledger.operators.similarity import may_be_similar, signature
+
+    urls = [f"http{'s' * (i % 2)}://w{i % 7}.site{i % 11}.example.net/en/{i * 37}" for i in range(120)]
+    sets = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id int, u string").select(
+        "id", trigram_codes(F.col("u")).alias("items")).withColumn("bits", signature(F.col("items")))
+    a, b = sets.toDF("a", "ia", "ba"), sets.toDF("b", "ib", "bb")
+    seen = a.crossJoin(b).where("a < b").select(
+        (set_similarity(F.col("ia"), F.col("ib")) >= 0.6).alias("similar"),
+        may_be_similar(F.size("ia"), F.col("ba"), F.size("ib"), F.col("bb"), 0.6).alias("may"),
+    ).groupBy("similar", "may").count().collect()
+    n = {(r["similar"], r["may"]): r["count"] for r in seen}
+    assert (True, False) not in n and n[(True, True)] > 0
+    assert n[(False, False)] > n.get((False, True), 0)  # most others are not looked at
+
+
+def test_few_sets_are_joined_by_many_tasks(spark):
+    tasks = spark.sparkContext.defaultParallelism
+    sets = spark.createDataFrame(
+        [(i, [1, 2, 3, i + 10]) for i in range(200)], "id int, items array<long>").coalesce(1)
+    pairs = similar_pairs(sets, [], "id", "items", 0.5)
+    assert pairs.count() == 200 * 199 // 2
+    assert len(set(r[0] for r in pairs.select(F.spark_partition_id()).distinct().collect())) >= tasks
+
+
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_addresses_near_each_other_whatever_the_number_of_classes(spark, few):
+    data = [(t, f"n{n}", f"{t}{n}-{i}", f"{i % 5} High Street {chr(97 + i)} Town{i % 3}")
+            for t in "st" for n in range(2) for i in range(9)] + [("s", "n0", "s-none", "")]
+    classes = spark.createDataFrame(
+        data, "tenant_id string, leader_id string, class_id string, address string").withColumn(
+        "project_id", F.lit("p"))
+    alike = spark.createDataFrame(
+        [(t, "p", a, b, 0.7) for t in "st" for a, b in (("n0", "n1"), ("n0", "n0"))],
+        "tenant_id string, project_id string, a string, b string, name_similarity double")
+    got = matching._near_addresses(alike, classes, 0.5, few)
+    side = classes.where("address <> ''").select(
+        "tenant_id", "leader_id", "class_id", trigram_codes(F.col("address")).alias("h"))
+    x, y = side.toDF("tenant_id", "a", "x", "hx"), side.toDF("tenant_id", "b", "y", "hy")
+    want = alike.join(x, ["tenant_id", "a"]).join(y, ["tenant_id", "b"]).where("a <> b or x < y").withColumn(
+        "s", set_similarity(F.col("hx"), F.col("hy"))).where("s >= 0.5")
+
+    def rows(df, s):
+        return sorted((r["tenant_id"], *sorted((r["x"], r["y"])), round(r[s], 9)) for r in df.collect())
+
+    assert rows(got, "address_similarity") == rows(want, "s") and want.count() > 50

@@ -458,3 +458,21 @@ def test_addresses_near_each_other_whatever_the_number_of_classes(spark, few):
         return sorted((r["tenant_id"], *sorted((r["x"], r["y"])), round(r[s], 9)) for r in df.collect())
 
     assert rows(got, "address_similarity") == rows(want, "s") and want.count() > 50
+
+
+def test_items_of_a_pair_are_intersected_once(spark):
+    """Each use of a plain column in a condition or result would be worked out by itself."""
+    def uses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("array_intersect")
+
+    sets = spark.createDataFrame([(i, [1, 2, 3, i + 10]) for i in range(9)], "id int, items array<long>")
+    assert uses(similar_pairs(sets, [], "id", "items", 0.5)) == 1
+    ids = "tenant_id string, project_id string, a string, b string, name_similarity double"
+    classes = spark.createDataFrame(
+        [("t", "p", f"n{i}", f"c{i}", "High Street") for i in range(3)],
+        "tenant_id string, project_id string, leader_id string, class_id string, address string")
+    near = matching._near_addresses(
+        spark.createDataFrame([("t", "p", "n0", "n1", 0.7)], ids), classes, 0.5)
+    assert uses(near) == 1 and near.count() == 1
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert near.rdd.getNumPartitions() >= tasks

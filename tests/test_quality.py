@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairledger.operators import anomalies, profile, quantiles, semantics
-from fairledger.operators.cells import value_counts
+from fairledger.operators.cells import spread, value_counts
 from fairledger.plans import jobs
 from fairledger.sources import landing
 
@@ -253,3 +253,25 @@ def test_versions_of_other_tenants_stay_apart(make_rows, make_columns):
     assert anomalies.duplicate_rows(rows).select("tenant_id").collect() == [("t1",)]
     counts = value_counts(rows).collect()
     assert sorted((c["tenant_id"], c["n"]) for c in counts) == [("t1", 2), ("t2", 1)]
+
+
+def test_a_file_of_many_pieces_and_one_row_group_is_spread(spark, tmp_path):
+    n, cores = 20_000, spark.sparkContext.defaultParallelism
+    path = tmp_path / "one.parquet"
+    spark.range(n).coalesce(1).write.parquet(str(path))
+    size = sum(f.stat().st_size for f in path.glob("*.parquet"))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = [spark.conf.get(c) for c in names]
+    try:
+        spark.conf.set(names[0], str(size // (2 * cores)))
+        spark.conf.set(names[1], "1")
+        df = spark.read.parquet(str(path))
+        assert df.rdd.getNumPartitions() >= cores
+        held = [len(p) for p in spread(df, "id").rdd.glom().collect()]
+        even = spread(df, "id")
+        assert spread(even, "id") is even
+    finally:
+        for c, v in zip(names, old):
+            spark.conf.set(c, v)
+    assert sum(held) == n and max(held) * cores <= 2 * n
+    assert spread(spark.range(0), "id").count() == 0

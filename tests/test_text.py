@@ -98,3 +98,12 @@ def test_confidence(spark, ident, name, address, expected):
 def test_csv_escape(spark):
     assert one(spark, 'a "b"', T.csv_escape) == '"a ""b"""'
     assert one(spark, "a b", T.csv_escape) == "a b"
+
+
+def test_repeated_words_are_cut_once(spark):
+    text = ("Ab ab, AB c!  " * 50_000) + "é ß"
+    df = spark.createDataFrame([(text,), (" ,a,,a ",), ("",), ("...",), (None,)], "t string")
+    got = [r[0] for r in df.select(T.trigrams(F.col("t"))).collect()]
+    assert got == [["  a", " ab", "ab ", "  c", " c ", "  é", " é ", "  ß", " ß "], ["  a", " a "], [], [], None]
+    plan = df.select(T.trigrams(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("array_distinct(split")  # inside of it

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fairledger.functions import fixed as K
+from fairledger.functions.text import conforms_strictly
 from fairledger.operators import anomalies, profile, quantiles, semantics
-from fairledger.operators.cells import spread, value_counts
+from fairledger.operators.cells import has, marked, spread, value_counts
 from fairledger.plans import jobs
 from fairledger.sources import landing
 
@@ -275,3 +277,17 @@ def test_a_file_of_many_pieces_and_one_row_group_is_spread(spark, tmp_path):
             spark.conf.set(c, v)
     assert sum(held) == n and max(held) * cores <= 2 * n
     assert spread(spark.range(0), "id").count() == 0
+
+
+def test_forms_are_told_without_patterns(spark):
+    """Strict forms and phones of numbers and dates, as by the patterns, which are not run for them."""
+    values = ["0", "-0", "007", "-7", "1234567", "-12345678", "1.5", "-1.50", "12345.67", "2024-01-15",
+              "2024-01-15T10:20", "11/12/2024", "1/2/1998", "true", "NO", "%", "5 %", "n/a", "555-1234 9"]
+    cell = marked(spark.createDataFrame([(v,) for v in values], "raw string"))
+    plan = cell._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(p in plan for p in (K.STRICT_INTEGER, K.STRICT_DECIMAL, K.STRICT_DATE))
+    got = cell.select("value", has("strict").alias("s"), conforms_strictly(F.col("raw"), F.col("class")).alias("w"),
+                      "class", has("m_phone").alias("p")).collect()
+    assert all(r.s == r.w for r in got if r["class"] != "string")
+    assert {r.value for r in got if r.p} == {
+        "1234567", "-12345678", "12345.67", "2024-01-15", "555-1234 9"}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairledger.functions import fixed as K
-from fairledger.operators.cells import MARKS, cells, has, marked, value_counts
+from fairledger.operators.cells import MARKS, has, marked, merged_cells, value_counts
 from fairledger.scope import COLUMN, PROJECT, VERSION
 
 
@@ -28,9 +28,9 @@ def column_votes(rows: DataFrame) -> DataFrame:
     A column has few combinations of facts, so a task sends a handful of rows for it. What needs
     no distinct values (types, semantic types) is answered from here.
     """
-    by_facts = marked(cells(rows)).groupBy(*COLUMN, "marks").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("raw") == F.col("value")).alias("n_untouched"))
+    by_facts = marked(merged_cells(rows)).groupBy(*COLUMN, "marks").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("raw") == F.col("value"), F.col("n")).otherwise(0)).alias("n_untouched"))
     return by_facts.groupBy(*COLUMN).agg(F.sum("n").alias("row_count"), *_sums()).withColumn(
         "inferred_type", majority_type())
 

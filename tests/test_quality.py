@@ -1,5 +1,7 @@
 """Profiles, anomalies, semantic types."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from fairledger.functions import fixed as K
 from fairledger.functions.text import conforms_strictly
 from fairledger.operators import anomalies, profile, quantiles, semantics
+from fairledger.operators import cells as cells_module
 from fairledger.operators.cells import has, marked, spread, value_counts
 from fairledger.plans import jobs
 from fairledger.sources import landing
@@ -291,3 +294,59 @@ def test_forms_are_told_without_patterns(spark):
     assert all(r.s == r.w for r in got if r["class"] != "string")
     assert {r.value for r in got if r.p} == {
         "1234567", "-12345678", "12345.67", "2024-01-15", "555-1234 9"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_cells_are_merged_before_they_are_marked(spark, make_rows, monkeypatch):
+    data = [("12", " a@b.c "), ("12", "a@b.c"), ("12", " "), (None, " "), ("x1 " * 40, "é"), ("7", "é", "more"), ()]
+    rows = reduce(lambda a, b: a.unionByName(b), [make_rows(data, version=f"v{k}") for k in range(3)])
+    key = ["dataset_version_id", "col_idx", "raw"]
+
+    def summed(cell):
+        return sorted(cell.groupBy(*key).agg(F.sum("n"), F.min("row_number")).collect(), key=repr)
+
+    want = summed(cells_module.cells(rows).withColumn("n", F.lit(1)))
+    merged = cells_module.merged_cells(rows.coalesce(1))
+    assert summed(merged) == want and merged.count() == len(want) == 27
+    assert "MapInArrow" in plan_of(value_counts(rows))
+    got = {(r["dataset_version_id"], r["col_idx"], r["first_row"]): (r["n"], r["n_untouched"])
+           for r in value_counts(rows).collect()}
+    assert got["v1", 0, 1] == (3, 3) and got["v1", 0, 4] == (1, 0)
+    assert got["v2", 1, 1] == (2, 1) and got["v2", 1, 3] == (2, 0) and len(got) == 24
+    assert value_counts(make_rows([])).count() == 0 and value_counts(make_rows([(), ()])).count() == 0
+
+
+def test_named_and_joined_lookups_agree(make_rows, monkeypatch):
+    rows = make_rows([("y" * 70, "a-b"), ("z1 q",  "?"), ("7", "a-b-c")])
+    shapes = sorted(semantics.shape_samples(rows, value_counts(rows)).collect())
+    monkeypatch.setattr(cells_module, "NAMED", 1)
+    assert sorted(semantics.shape_samples(rows, value_counts(rows)).collect()) == shapes and len(shapes) == 5
+
+
+def test_checks_read_their_columns_only(make_rows, make_columns, monkeypatch):
+    read = []
+    cells_with = anomalies._cells_with_stats
+    monkeypatch.setattr(anomalies, "_cells_with_stats", lambda rows, stats: read.append(
+        {r["column_name"] for r in stats.collect()}) or cells_with(rows, stats))
+    rows, columns = make_rows(ANOMALY_ROWS), make_columns(ANOMALY_COLUMNS)
+    stats = anomalies.column_stats(rows, columns)
+    got = anomalies.cell_anomalies(rows, stats, ["null"]).collect()
+    assert [(a["row_number"], a["column_name"]) for a in got] == [(5, "notes")] and read == [{"notes"}]
+
+
+def test_large_pieces_are_cut(spark, monkeypatch):
+    table = spark.range(0, 1000, numPartitions=8)
+    assert spread(table, "id").rdd.getNumPartitions() == 8
+    monkeypatch.setattr(cells_module, "PIECE_ROWS", 50, raising=False)
+    assert spread(table, "id").rdd.getNumPartitions() == 20
+
+
+def test_duplicates_are_hashed_before_they_are_digested(make_rows):
+    data = [(str(k), "x") for k in range(50)] + [("7", "x"), ("7", "x"), (None, "x"), ("", "x"), (None, "x")]
+    found = anomalies.duplicate_rows(make_rows(data))
+    assert sorted((r["row_number"], r["first_row"]) for r in found.collect()) == [(51, 8), (52, 8), (55, 53)]
+    # digests are made of rows that share a hash, and written: none is made again to cite the first
+    assert "sha2" not in plan_of(found)

@@ -230,3 +230,17 @@ def test_faults_are_not_missing_tables(spark, tmp_path):
     (tmp_path / "t" / "x.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception):
         landing._exists(spark, str(tmp_path / "t"))
+
+
+def test_records_are_written_once_and_wide_files_keep_their_columns(spark):
+    width = 400
+    wide = "\n".join(",".join(f"{'n' if r == 0 else r}{c}" for c in range(width)) for r in range(22))
+    files = spark.createDataFrame(
+        [("t", "p", "wide", "wide.csv", len(wide), wide.encode())], SCHEMA)
+    parsed = delimited.parse(files)
+    arrays = [f.name for f in parsed.schema if f.dataType.typeName() == "array"]
+    assert arrays == ["records"]
+    done = delimited.ingest(files)
+    assert done.runs.first()["has_header"] and done.rows.count() == 21
+    assert [r["column_name"] for r in done.columns.orderBy("col_idx").collect()] == [
+        f"n{c}" for c in range(width)]

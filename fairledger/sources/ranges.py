@@ -59,15 +59,20 @@ def _before(*keys: str) -> Window:
 def _texts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines with text, delimiter and `closed` (the file's last line has a line end), and the files: path,
     encoding, delimiter, forbidden."""
+    # the reader leaves out the three bytes of a byte order mark, which are text in windows-1252
+    beyond = F.max("size") - F.sum(F.octet_length("content") + 1)
     known = stage(lines.groupBy("path").agg(
         F.when(F.bool_and(F.is_valid_utf8(F.col("content").cast("string"))), "UTF-8").otherwise(
             "windows-1252").alias("detected_encoding"),
         F.min(F.struct("range", "line")).alias("head"),
-        (F.sum(F.octet_length("content") + 1) == F.max("size")).alias("closed")))
+        beyond.isin(0, 3).alias("closed"), (beyond >= 2).alias("marked")))
     at_head = (F.col("range") == F.col("head.range")) & (F.col("line") == F.col("head.line"))
-    plain = lines.join(known, "path").withColumn("text", F.when(
+    whole = F.when(at_head & F.col("marked"), F.concat(F.lit(b"\xef\xbb\xbf"), "content")).otherwise(
+        F.col("content"))
+    plain = lines.join(known, "path").withColumn("content", whole).withColumn("text", F.when(
         at_head, D.decode(F.col("content"), F.col("detected_encoding"))
-    ).otherwise(D.raw_text(F.col("content"), F.col("detected_encoding")))).drop("content", "head", "size")
+    ).otherwise(D.raw_text(F.col("content"), F.col("detected_encoding")))).drop(
+        "content", "head", "size", "marked")
     filled = plain.where(js_trim(F.col("text")) != "").withColumn("n", F.row_number().over(
         Window.partitionBy("path").orderBy("range", "line"))).where(F.col("n") <= K.DIALECT_LINES)
     sample = F.array_join(F.transform(

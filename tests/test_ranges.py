@@ -80,3 +80,12 @@ def test_no_files(spark, tmp_path):
     assert ranges.ingest(files).runs.first()["row_count"] == 0
     none = ranges.ingest(files.where("filename = 'x'"))
     assert all(t.count() == 0 for t in (none.runs, none.columns, none.rows, none.rejected))
+
+
+def test_a_byte_order_mark_of_a_file_that_is_not_utf8(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes(b"\xef\xbb\xbfa,b\n\xe9,2\n")
+    (tmp_path / "open.csv").write_bytes(b'\xef\xbb\xbfa,b\n1,2\n3,"x\n')
+    got = tables(ranges.ingest(versions(ranges.listed(spark, str(tmp_path)))))
+    assert got == tables(delimited.ingest(versions(delimited.read_files(spark, str(tmp_path)))))
+    assert "column_name='\u00ef\u00bb\u00bfa'" in "".join(got["columns"])
+    assert "column_name='a'" in "".join(got["columns"])

@@ -57,3 +57,19 @@ def test_odd_rows(spark, make_docs):
     assert lm_score.backoff_scores(make_docs([])).count() == 0
     assert [tuple(r) for r in lm_score.backoff_scores(make_docs([(1, None)])).collect()] == [
         (1, 0, 0, 0, 0, 0.0, None)]
+
+
+def test_blocks_go_by_bytes_not_by_partitions(spark, corpus, monkeypatch):
+    setting, seen = "spark.sql.shuffle.partitions", []
+    old = spark.conf.get(setting)
+    try:
+        for n in (2, 50):
+            spark.conf.set(setting, str(n))
+            seen.append(lm_score.parts_of(corpus))
+    finally:
+        spark.conf.set(setting, old)
+    assert seen[0] == seen[1]
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    assert lm_score.parts_of(corpus) > 10
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    same(lm_score.backoff_scores(corpus).collect(), brute(rows, 3, 2))

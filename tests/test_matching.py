@@ -12,6 +12,7 @@ from fairledger.operators import (
     audit, decisions, matching, numbering, partners, review, rowrules, suppliers, versions,
 )
 from fairledger.operators.similarity import brute_force, similar_pairs
+from fairledger.plans.staging import stage
 
 PARTNER = "tenant_id string, project_id string, id string, primary_name string"
 IDENT = "tenant_id string, business_partner_id string, identifier_type string, identifier_value string"
@@ -81,6 +82,29 @@ def test_similarity_join_is_exact(spark, hot, threshold):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_items_are_not_broadcast(spark):
+    """Spark takes them for as small as the sets they come from."""
+    sets = spark.range(50).selectExpr(
+        "'t' as tenant_id", "'p' as project_id", "string(id) as id", "sequence(id, id + 40) as items")
+    scope = ["tenant_id", "project_id"]
+    found = similar_pairs(sets, scope, "id", "items", 0.5)
+    assert "SortMergeJoin" in plan_of(found) and "BroadcastHashJoin" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, brute_force(
+        sets, scope, "id", "items", 0.5).collect()))
+
+
+@pytest.mark.parametrize("rows,broadcast", [(1000, True), (200_000, False)])
+def test_what_is_large_in_memory_is_not_broadcast(spark, rows, broadcast):
+    table = stage(spark.range(rows).selectExpr("id as x", "array_repeat(id % 7, 100) as items"))
+    held = matching._looked_up(table, 8 * F.size("items") + 200)
+    few = stage(spark.range(rows * 10).withColumnRenamed("id", "x"))
+    assert ("BroadcastHashJoin" in plan_of(few.join(held.select("x", "items"), "x"))) == broadcast
+
+
 @pytest.fixture(scope="module")
 def crowd(spark):
     """One name and one identifier held by a third of all partners, and some others near."""

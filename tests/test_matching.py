@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fairledger.functions.text import set_similarity, trigram_codes
 from fairledger.operators import (
-    audit, decisions, matching, numbering, partners, review, rowrules, suppliers, versions,
+    audit, decisions, matching, numbering, partners, review, rowrules, similarity, suppliers, versions,
 )
 from fairledger.operators.similarity import brute_force, similar_pairs
 from fairledger.plans.staging import stage
@@ -86,12 +86,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_exploded_items_are_not_broadcast(spark):
+@pytest.mark.parametrize("most,hot", [(0, 4096), (0, 3), (100_000, 4096)])
+def test_exploded_items_are_not_broadcast(spark, monkeypatch, most, hot):
     """Spark takes them for as small as the sets they come from."""
+    monkeypatch.setattr(similarity, "LOOKED_UP", most)
     sets = spark.range(50).selectExpr(
         "'t' as tenant_id", "'p' as project_id", "string(id) as id", "sequence(id, id + 40) as items")
     scope = ["tenant_id", "project_id"]
-    found = similar_pairs(sets, scope, "id", "items", 0.5)
+    found = similar_pairs(sets, scope, "id", "items", 0.5, hot)
     assert "SortMergeJoin" in plan_of(found) and "BroadcastHashJoin" not in plan_of(found)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, brute_force(
         sets, scope, "id", "items", 0.5).collect()))
@@ -240,6 +242,41 @@ def test_one_name_with_many_addresses_stays_linear(spark):
     assert matching.fuzzy_matches(partners, addresses, least_address=0.9).count() < 3 * 600
 
 
+@pytest.mark.parametrize("slot", [matching.SLOT, 3])
+def test_all_pairs_of_similar_names(spark, crowd, monkeypatch, slot):
+    """Those of one class as well as those of classes with other addresses; ids and rows may repeat."""
+    monkeypatch.setattr(matching, "SLOT", slot)
+    none = spark.createDataFrame([], IDENT)
+    full = pairs(matching.score_pairs(every_pair(crowd[0]), crowd[0], none, crowd[2]))
+    got = matching.fuzzy_matches(crowd[0], crowd[2]).collect()
+    assert len(got) == len(full) and all(full[
+        r["business_partner_id"], r["candidate_business_partner_id"]] == r for r in got)
+    names = [("1", "Acme Corp"), ("1", "Acme Corps"), ("2", "ACME corp"), ("2", "Acme Corp"), ("3", "Acme Corps"),
+             (None, "Acme Corp"), ("4", None), ("5", "--"), ("6", "--")]
+    odd = spark.createDataFrame([("t", "p", i, n) for i, n in names], PARTNER)
+    found = matching.fuzzy_scores(odd, crowd[2]).collect()
+    want = [(*sorted((i, j)), n.lower() == m.lower()) for (i, n), (j, m) in itertools.combinations(names[:5], 2) if i != j]
+    assert sorted((r["business_partner_id"], r["candidate_business_partner_id"], r["name_similarity"] == 1)
+                  for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["fuzzy_match", "ambiguous_pairs", "pair_queue"])
+def test_queries_of_similar_partners_leave_none_out(spark, tmp_path, name):
+    """Four parts of one name at two addresses: in a list by classes, each pair but three is left out."""
+    import __spark_entry__ as entry
+
+    parts = [(n, "red ring", "Brand#1", "SMALL" if n else "STANDARD", 2) for n in (0, 1, 2, 3)]
+    spark.createDataFrame(
+        parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = pairs(entry.queries()[name](spark, str(tmp_path)))
+    every = set(itertools.combinations([f"part-{n}" for n in range(4)], 2))
+    low = {k for k in every if k[0] == "part-0"}  # another address, below 0.9
+    assert {k: r["confidence"] < 0.9 for k, r in got.items()} == {
+        k: k in low for k in (every if name == "fuzzy_match" else low)}
+
+
 def components(edges):
     parent = {}
 

@@ -96,6 +96,15 @@ def test_every_later_copy_of_a_passage_goes(spark, make_docs, low, high, glue):
     assert hit == 0 if high == 3 else hit == 40
 
 
+def test_one_short_unit_finds_a_passage(spark, make_docs):
+    """The sentences around it are glued to other text, so it is all that the rows share as a unit."""
+    words = [f"w{k}" for k in range(50)]
+    p = f"{' '.join(words[:25])}. Five words stand here alone. {' '.join(words[25:])}"
+    rows = [(1, f"one start {p} one end"), (2, f"another begin {p} other end")]
+    assert result(make_docs(rows)) == [rows[0], (2, "another begin  other end")]
+    assert result(make_docs(rows), 4, 50, 12) == rows
+
+
 def test_rows_of_one_id(spark, make_docs):
     random.seed(8)
     p = passage(60, 5, 9)
